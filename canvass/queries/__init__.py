@@ -1,6 +1,6 @@
-"""Queries of the engine over the driver tables, each with DuckDB SQL for the same rows."""
+"""Queries of the engine over the driver tables, most with DuckDB SQL for the same rows."""
 
-from __future__ import annotations
+from canvass.queries import campaigns, control, evidence, ingest, texts, timeline, vectors, writes  # noqa: F401
+from canvass.queries.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
