@@ -51,6 +51,6 @@ def _inside(name: str) -> str:
 LABELLED_PAGES = (
     *(_around(f"<{tag}><div data-label='main'><h1>{_words(6)}</h1>{_prose()}</div></{tag}>") for tag in ("article", "main")),
     *(_around(f"<div class='{name}' data-label='main'><h1>{_words(6)}</h1>{_prose(3)}</div>") for name in CONTENT_NAMES),
-    *(_around(f"{_inside(name)}<article data-label='main'>{_prose(1)}{_inside(name)}{_prose(1)}</article>{_inside(name)}") for name in BOILERPLATE_NAMES),
+    *(_around(f"{_inside(name)}<article data-label='main'><h1>{_words(6)}</h1>{_prose(1)}{_inside(name)}{_prose(1)}</article>{_inside(name)}") for name in BOILERPLATE_NAMES),
     *(_around(f"<p>{_words(9)}</p><div><p>{_words(30)}</p></div><article data-label='main'><h1>{_words(6)}</h1>{_prose(1)}</article><p>{_words(9)}</p>") for _ in range(3)),
 )

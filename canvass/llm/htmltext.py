@@ -40,7 +40,7 @@ MAIN = frozenset(("article", "main"))
 VETO, BOILERPLATE = -3.0, -0.25
 _TOKENS = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>?|[^<]+|<",
+    r"|<[!?/a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -66,7 +66,7 @@ def pieces(html: str) -> Iterator[Piece]:
         raw, closing, name, attributes = m.groups()
         if name is None:
             whole = m.group()
-            if raw is None and not whole.startswith(("<!", "<?", "</")):
+            if raw is None and (whole == "<" or whole[0] != "<"):
                 features = stack[-1][1]
                 if marked and not features & MAIN:
                     features = features | {"beside-main"}
