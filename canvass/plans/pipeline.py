@@ -53,8 +53,8 @@ def parse(spark: SparkSession, s: Settings) -> int:
     raw = Table.named(spark, s.root, "raw_comments").read().where(F.col("docket_id") == s.docket_id)
     target = Table.named(spark, s.root, "parsed_comments")
     rows = mappers.text_decision(raw.withColumn("body", F.col("comment_text"))).withColumn("parsed_at", s.now())
-    known = target.read().select("comment_id", F.col("normalized_text_hash").alias("old"))
-    fresh = rows.join(known, "comment_id", "left").where(F.col("old").isNull() | ~F.col("old").eqNullSafe(F.col("normalized_text_hash")))
+    known = target.read().select("comment_id", F.struct(F.col("normalized_text_hash").alias("hash")).alias("old"))
+    fresh = rows.join(known, "comment_id", "left").where(F.col("old").isNull() | ~F.col("old.hash").eqNullSafe(F.col("normalized_text_hash")))
     fresh = stored(coerce(fresh, schemas.schema("parsed_comments")), "parsed")
     counts = target.merge(fresh)
     return counts["inserted"] + counts["updated"]
