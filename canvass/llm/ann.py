@@ -195,9 +195,10 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     data = stored(_blocks(rows, quantiser, BLOCK), "blocks")
     asked = stored(_blocks(rows.where(is_query), quantiser, QUERIES), "queries")
-    tiles = [r["block"] for r in data.select("block").collect()]  # one name for every BLOCK vectors
-    each = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.array(*map(F.lit, tiles))).alias("block"))
-    pairs = each.repartition("block", F.xxhash64("q_ids")).join(data.hint("shuffle_hash"), "block")
+    tiles = data.count()  # one for every BLOCK vectors
+    placed = data.withColumn("tile", F.pmod(F.xxhash64("block"), F.lit(tiles))).hint("shuffle_hash")
+    each = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).cast("long").alias("tile"))
+    pairs = each.join(placed, "tile")
     sent = spark.sparkContext.broadcast(quantiser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
