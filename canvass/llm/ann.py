@@ -197,7 +197,7 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     asked = stored(_blocks(rows.where(is_query), quantiser, QUERIES), "queries")
     tiles = data.count()  # one for every BLOCK vectors
     placed = data.withColumn("tile", F.pmod(F.xxhash64("block"), F.lit(tiles))).hint("shuffle_hash")
-    each = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).cast("long").alias("tile"))
+    each = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"))
     pairs = each.join(placed, "tile")
     sent = spark.sparkContext.broadcast(quantiser)
 
