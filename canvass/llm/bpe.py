@@ -3,10 +3,12 @@
 Documents are taken in blocks of bounded size. A block is exploded into its distinct words and,
 for each document, the positions of those words as numbers. The words of all blocks meet in one
 shuffle by word slot, where each distinct word is encoded once; its ids go back to the
-blocks that have it, and there every document is put together again by position. Both
-directions carry packed arrays, one row for a block and slot. Nothing that grows with the data is
-broadcast, no group is larger than a block, and a word meets a slot at most once a block,
-however often it occurs.
+blocks that have it, and there every document is put together again by position. All
+rows carry packed arrays. Nothing that grows with the data is broadcast, no group is larger than
+a block, and a word meets its slot at most once a block, however often it occurs.
+
+Words and positions of a block come from two readings of it, as the positions then move once only;
+both carry a mark of the block's words, and blocks that don't agree raise an error.
 
 A "word" is a stretch of text which the pattern always cuts out whole: a run of characters other
 than white space with the single space before it, or a longer run of white space. The pattern
@@ -17,12 +19,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +33,12 @@ from canvass.llm.vocab import read_ranks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text in a block (a block has one document at least).
-BLOCK_CHARS = 32 << 20
-SLOTS = 1024
+BLOCK_CHARS = 16 << 20
+#: Word places in a row that carries documents.
+ROW_WORDS = 1 << 16
 
-_SPACE = r"\t-\r \x85\xa0  -     　"
+#: White space as the pattern has it (fixed by Unicode).
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = regex.compile(rf"[{_SPACE}][{_SPACE}]")
 _COARSE = regex.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
@@ -76,70 +80,109 @@ def _unpack_numbers(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-_ROW = "slot int, block string, part int, doc_id {0}, body binary"
+class Block:
+    """Documents of a block, and its words in the order of their slots."""
+
+    def __init__(self, name: str):
+        self.name, self.chars, self.ids, self.coded, self.index = name, 0, [], [], {}
+
+    def ordered(self, slots: int) -> list[tuple[int, bytes, int]]:
+        """(slot, word, number by first occurrence) of every word."""
+        words = [w.encode("utf-8", "surrogatepass") for w in self.index]
+        return sorted((zlib.crc32(w) % slots, w, i) for i, w in enumerate(words))
+
+    def _row(self, slot: int, part: int, mark: int, body: bytes, doc_ids: list | None = None) -> dict:
+        return {"slot": slot, "block": self.name, "part": part, "mark": mark, "doc_ids": doc_ids, "body": body}
+
+    def word_rows(self, slots: int) -> Iterator[dict]:
+        """The words of each slot, and how many words of the block come before them."""
+        ordered = self.ordered(slots)
+        mark = zlib.crc32(b"\0".join(w for _, w, _ in ordered))
+        at = 0
+        for slot, group in groupby(ordered, key=lambda x: x[0]):
+            words = [w for _, w, _ in group]
+            yield self._row(slot, at, mark, _pack_words(words))
+            at += len(words)
+
+    def document_rows(self, slots: int) -> Iterator[dict]:
+        """Documents as numbers of words, about ``ROW_WORDS`` to a row."""
+        ordered = self.ordered(slots)
+        mark = zlib.crc32(b"\0".join(w for _, w, _ in ordered))
+        number = np.empty(len(ordered), np.uint32)
+        number[[i for _, _, i in ordered]] = np.arange(len(ordered), dtype=np.uint32)
+        first = size = 0
+        for i, codes in enumerate(self.coded):
+            size += len(codes)
+            if size >= ROW_WORDS or i == len(self.coded) - 1:
+                some = self.coded[first : i + 1]
+                lengths = np.fromiter(map(len, some), np.uint32, len(some))
+                body = _pack_numbers(np.concatenate([lengths, number[np.concatenate(some)]]))
+                yield self._row(0, -1, mark, body, self.ids[first : i + 1])
+                first, size = i + 1, 0
+
+
+def _pack_ids(found: list[list[int]]) -> bytes:
+    """How many ids each word has, and all ids one after the other (words in order share their first ones)."""
+    counts = np.fromiter(map(len, found), "<u4", len(found))
+    flat = np.fromiter(chain.from_iterable(found), "<u4", int(counts.sum()))
+    narrow = flat.astype("<u2") if len(flat) and flat.max() < 1 << 16 else flat
+    head = np.array([len(counts), narrow.itemsize], "<u4").tobytes()
+    return zstandard.compress(head + counts.tobytes() + narrow.tobytes(), 3)
+
+
+def _unpack_ids(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(blob)
+    n, size = np.frombuffer(raw, "<u4", 2)
+    counts = np.frombuffer(raw, "<u4", n, 8).astype(np.int64)
+    return counts, np.frombuffer(raw, f"<u{size}", offset=8 + 4 * int(n)).astype(np.int32)
+
 
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema)
 
-def _rows_of_block(block: str, ids: list, coded: list[np.ndarray], index: dict[str, int], slots: int) -> dict:
-    """One row for each slot with its words, one for each document with its word numbers.
 
-    Numbers count the block's words by slot, and in a slot by order, so a slot's row needs only its offset.
-    """
-    words = [w.encode("utf-8", "surrogatepass") for w in index]
-    slot = np.fromiter((zlib.crc32(w) % slots for w in words), np.int64, len(words))
-    order = np.argsort(slot, kind="stable")
-    renumber = np.empty(len(words), np.uint32)
-    renumber[order] = np.arange(len(words), dtype=np.uint32)
-    at = np.flatnonzero(np.append(True, np.diff(slot[order]) != 0)) if len(words) else []
-    bounds = [*map(int, at), len(words)]
-    out = {"slot": [], "block": [], "part": [], "doc_id": [], "body": []}
-    for a, b in zip(bounds, bounds[1:]):
-        of = order[a:b].tolist()
-        out["slot"].append(int(slot[of[0]]))
-        out["part"].append(a)
-        out["doc_id"].append(None)
-        out["body"].append(_pack_words([words[i] for i in of]))
-    for doc_id, codes in zip(ids, coded):
-        out["slot"].append(zlib.crc32(block.encode()) % slots)
-        out["part"].append(-1)
-        out["doc_id"].append(doc_id)
-        out["body"].append(_pack_numbers(renumber[codes]))
-    out["block"] = [block] * len(out["slot"])
-    return out
-
-
-def _batch(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
-
-
-def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS, slots: int = SLOTS) -> DataFrame:
+_ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS, slots: int | None = None) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) of every row: whole texts by the rank file at ``path``.
 
     Each match of ``pattern`` is encoded separately, without special tokens. Null and empty texts
     have an empty array. Repeated rows and null ids keep their rows; other columns of ``docs`` are
-    not read; an empty table gives an empty one.
+    not read; an empty table gives an empty one. ``docs`` is read twice and must come in the
+    same order (files and tables do). ``slots`` should be some times the number of shuffle partitions, as it is by default.
     """
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(read_ranks(path))
+    slots = slots or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    schema = pa.schema([("slot", pa.int32()), ("block", pa.string()), ("part", pa.int32()), ("doc_id", id_type), ("body", pa.binary())])
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
-        ids, coded, index, chars = [], [], {}, 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = cut_words(text.as_py() or "")
-                number = [index.setdefault(w, len(index)) for w in words]
-                ids.append(doc_id)
-                coded.append(np.array(number, np.uint32))
-                chars += sum(map(len, words))
-                if chars >= block_chars:
-                    yield _batch(_rows_of_block(f"{task}-{n}", ids, coded, index, slots), schema)
-                    ids, coded, index, chars, n = [], [], {}, 0, n + 1
-        if ids:
-            yield _batch(_rows_of_block(f"{task}-{n}", ids, coded, index, slots), schema)
+    kind = kind if kind in _ID_TYPES else "string"
+    id_type = _ID_TYPES[kind]
+    schema = pa.schema([
+        ("slot", pa.int32()), ("block", pa.string()), ("part", pa.int32()), ("mark", pa.int64()), ("doc_ids", pa.list_(id_type)), ("body", pa.binary())
+    ])
+
+    def explode(rows_of, numbers: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, block = 0, Block("")
+            for batch in batches:
+                for part, doc_id, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    block.name, text = f"{part}-{n}", text or ""
+                    words, index = cut_words(text), block.index
+                    if numbers:
+                        block.ids.append(doc_id)
+                        block.coded.append(np.array([index.setdefault(w, len(index)) for w in words], np.uint32))
+                    else:
+                        index.update(dict.fromkeys(words))
+                    block.chars += len(text) + 1
+                    if block.chars >= block_chars:
+                        yield _batch(list(rows_of(block, slots)), schema)
+                        n, block = n + 1, Block("")
+            if block.chars:
+                yield _batch(list(rows_of(block, slots)), schema)
+
+        return run
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -147,49 +190,48 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
         now, known = None, {}
         for batch in batches:
-            rows = {name: batch.column(name).to_pylist() for name in schema.names}
-            for i, (slot, part) in enumerate(zip(rows["slot"], rows["part"])):
-                if slot != now:  # rows come in order of slots: what is known stays small
-                    now, known = slot, {}
-                if part < 0:
-                    continue
-                words = _unpack_words(rows["body"][i])
+            rows = batch.to_pylist()
+            for row in rows:
+                if row["slot"] != now:  # rows come in order of slots: what is known stays small
+                    now, known = row["slot"], {}
+                words = _unpack_words(row["body"])
                 for w in words:
                     if w not in known:
                         known[w] = own.encode_ordinary(w.decode("utf-8", "surrogatepass"))
-                found = [known[w] for w in words]
-                counts = np.fromiter(map(len, found), np.uint32, len(found))
-                rows["body"][i] = _pack_numbers(np.concatenate([[len(found)], counts, *found]).astype(np.uint32))
+                row["body"] = _pack_ids([known[w] for w in words])
             yield _batch(rows, schema)
 
     out_schema = pa.schema([("doc_id", id_type), ("ids", pa.list_(pa.int32()))])
 
     def reassemble(block: pa.Table) -> pa.Table:
-        part = block.column("part").to_numpy()
-        body = block.column("body")
-        counts, flat = [], []
-        for i in sorted(np.flatnonzero(part >= 0).tolist(), key=part.__getitem__):
-            x = _unpack_numbers(body[i].as_py())
-            counts.append(x[1 : 1 + x[0]])
-            flat.append(x[1 + x[0] :])
-        counts = np.concatenate([np.zeros(0, np.uint32), *counts]).astype(np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint32), *flat]).astype(np.int32)
+        rows = sorted(block.to_pylist(), key=lambda r: r["part"])
+        if len({r["mark"] for r in rows}) > 1:
+            raise ValueError("the documents came in another order the second time; write them to a table first")
+        found = [_unpack_ids(r["body"]) for r in rows if r["part"] >= 0]
+        counts = np.concatenate([np.zeros(0, np.int64), *[c for c, _ in found]])
+        flat = np.concatenate([np.zeros(0, np.int32), *[f for _, f in found]])
         starts = np.cumsum(counts) - counts
-        ids, offsets, of = [], [0], []
-        for i in np.flatnonzero(part < 0).tolist():
-            codes = _unpack_numbers(body[i].as_py())
+        of, offsets, ids = [], [np.zeros(1, np.int64)], [flat[:0]]
+        for row in rows:
+            if row["part"] >= 0:
+                continue
+            body = _unpack_numbers(row["body"])
+            lengths, codes = body[: len(row["doc_ids"])].astype(np.int64), body[len(row["doc_ids"]) :]
             n = counts[codes]
-            total = int(n.sum())
-            ids.append(flat[np.repeat(starts[codes] - np.cumsum(n) + n, n) + np.arange(total)])
-            offsets.append(offsets[-1] + total)
-            of.append(i)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-        return pa.Table.from_arrays([block.column("doc_id").take(pa.array(of)).combine_chunks().cast(id_type), lists], schema=out_schema)
-
-    held = docs.select(F.col("doc_id") if kind in ("bigint", "int") else F.col("doc_id").cast("string"), "text")
-    rows = held.mapInArrow(explode, _ROW.format(kind if kind in ("bigint", "int") else "string"))
-    coded = rows.repartition("slot").sortWithinPartitions("slot").mapInArrow(encode_words, rows.schema)
-    return coded.groupBy("block").applyInArrow(reassemble, f"doc_id {dict(held.dtypes)['doc_id']}, ids array<int>")
+            ends = np.cumsum(n)
+            ids.append(flat[np.repeat(starts[codes] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)])
+            offsets.append(offsets[-1][-1] + np.append(0, ends)[np.cumsum(lengths)])
+            of += row["doc_ids"]
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int64()), pa.array(np.concatenate(ids)))
+        return pa.Table.from_arrays([pa.array(of, id_type), lists.cast(pa.list_(pa.int32()))], schema=out_schema)
+
+    # The partition's number within docs, which is the same wherever that plan is put.
+    held = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast(kind), "text")
+    columns = f"slot int, block string, part int, mark bigint, doc_ids array<{kind}>, body binary"
+    words = held.mapInArrow(explode(Block.word_rows, False), columns)
+    coded = words.repartition("slot").sortWithinPartitions("slot").mapInArrow(encode_words, columns)
+    documents = held.mapInArrow(explode(Block.document_rows, True), columns)
+    return coded.union(documents).groupBy("block").applyInArrow(reassemble, f"doc_id {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
