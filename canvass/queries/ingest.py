@@ -31,11 +31,11 @@ def ecfs(spark, d):
     payload = F.to_json(F.struct(
         i.cast("string").alias("id_submission"), F.when(i % 2 == 1, "1").otherwise("0").alias("express_comment"),
         F.struct(F.when(i % 2 == 0, "30").otherwise("x").alias("id")).alias("submissiontype"),
-        F.array(proceeding("P1", F.lit("other")), proceeding("P2", F.when(i % 3 == 0, "17-108").otherwise("x"))).alias("proceedings"),
+        F.array(proceeding("P1", F.lit("other")), proceeding("P2", F.when(i % 3 == 0, "D-7").otherwise("x"))).alias("proceedings"),
         F.when(i % 4 != 0, F.array(person("A"), person(""), person("B"))).alias("filers"),
         F.when(i % 5 == 0, F.array(F.create_map(F.lit("n"), F.lit("f")))).alias("documents"), F.lit("1").alias("_index"),
     ))
-    rows = mappers.ecfs_comments(table(spark, d, "documents").select(payload.alias("json")), "17-108", F.lit(AS_OF).cast("timestamp"))
+    rows = mappers.ecfs_comments(table(spark, d, "documents").select(payload.alias("json")), "D-7", F.lit(AS_OF).cast("timestamp"))
     return rows.select("comment_id", "ecfs_proceeding_id", "submitter_name", "has_attachments", "ecfs_submission_type_id", "ecfs_express_comment")
 
 
