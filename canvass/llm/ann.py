@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canvass.llm.common import stored, table
+from canvass.llm.common import sent_model, stored, table
 
 #: Bound of the sample that the codebooks are fitted on (vectors, chosen by a hash of the id).
 SAMPLE = 8192
@@ -141,10 +141,10 @@ _BLOCKS = pa.schema([("block", pa.string()), ("ids", pa.binary()), ("codes", pa.
 
 def _blocks(rows: DataFrame, quantiser: Quantiser, size: int) -> DataFrame:
     """Rows of ``size`` vectors each: ids, codes and original vectors as packed arrays, in the order of ids."""
-    sent = rows.sparkSession.sparkContext.broadcast(quantiser)  # codebooks: a few KB
+    sent = sent_model(rows.sparkSession, quantiser)  # codebooks: a few KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n, ids, vectors = TaskContext.get().partitionId(), 0, [], []
+        task, n, ids, vectors, own = TaskContext.get().partitionId(), 0, [], [], sent()
 
         def out(k: int) -> pa.RecordBatch:
             nonlocal ids, vectors, n
@@ -152,7 +152,7 @@ def _blocks(rows: DataFrame, quantiser: Quantiser, size: int) -> DataFrame:
             ids, vectors, n = [i[k:]], [v[k:]], n + 1
             order = np.argsort(i[:k], kind="stable")
             i, v = i[:k][order], v[:k][order]
-            fields = [f"{task}-{n}", i.tobytes(), sent.value.packed(_unit(v)).tobytes(), v.tobytes()]
+            fields = [f"{task}-{n}", i.tobytes(), own.packed(_unit(v)).tobytes(), v.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(fields, _BLOCKS)], schema=_BLOCKS)
 
         for batch in batches:
@@ -199,10 +199,10 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     placed = data.withColumn("tile", F.pmod(F.xxhash64("block"), F.lit(tiles))).hint("shuffle_hash")
     each = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"))
     pairs = each.join(placed, "tile")
-    sent = spark.sparkContext.broadcast(quantiser)
+    sent = sent_model(spark, quantiser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent()
         for batch in batches:
             for q_ids, q_vectors, ids, codes, v in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vectors", "ids", "codes", "vectors"))):
                 q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canvass.sources.shared import shared_root, stored
 
-__all__ = ["ascii_lower", "shared_root", "small_batches", "stored", "table", "word_count"]
+__all__ = ["ascii_lower", "sent_model", "shared_root", "small_batches", "stored", "table", "word_count"]
 
 #: Rows in an Arrow batch for operators on whole texts, unless the session asks for another number.
 TEXT_BATCH = 1024
@@ -25,6 +29,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH))
 
 
+def sent_model(spark: SparkSession, model: object) -> Callable[[], object]:
+    """Broadcast a model of bounded size with its class; call the result on an executor to get it."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(sent.value)
+
+
 def ascii_lower(text: str | Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
