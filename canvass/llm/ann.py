@@ -26,7 +26,7 @@ CENTRES, WIDTH, ROUNDS = 16, 2, 6
 THRESHOLD = 0.2
 BLOCK, QUERIES = 4096, 256
 #: Candidates of each block that are ranked exactly, for each neighbour asked for.
-RERANK = 24
+RERANK = 48
 EVERY = 50
 
 
@@ -180,6 +180,16 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _spare(v: np.ndarray, k: int) -> np.ndarray:
+    """Rows after the first k + 1 equal ones of a block in order of ids: no query can have them among its k nearest."""
+    rows = np.ascontiguousarray(v).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel()
+    _, group = np.unique(rows, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+    place = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
+    return order[place > k]
+
+
 def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest by cosine that are found, for each row where ``is_query``.
 
@@ -210,6 +220,7 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
                 unit_q, unit_v = _unit(q), _unit(v)
                 scores = own.scan(unit_q, np.frombuffer(codes, np.uint8).reshape(len(ids), -1))
                 scores[q_ids[:, None] == ids[None, :]] = -np.inf
+                scores[:, _spare(v, k)] = -np.inf  # a crowd of equal vectors leaves room for others
                 best = _best(scores, RERANK * k)
                 exact = np.einsum("qd,qkd->qk", unit_q, unit_v[best])
                 found = np.where(np.take_along_axis(scores, best, 1) == -np.inf, -np.inf, exact)
