@@ -130,15 +130,16 @@ def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` whose id is its group's smallest, one row for an id; every group keeps one.
 
     Rows with a null id have no name to be kept by: of those whose group has no id at all, one of
-    each text stays. The first stage reads only ids; the texts of what stays aren't joined twice.
+    each fingerprint stays. What goes is far less than what stays, so the ids that go are joined.
     """
     found = near_duplicates(docs, max_bits)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(keep, docs.doc_id == keep.kept_id, "left_semi")
-    unnamed = docs.where("doc_id is null")
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
-    if not repeated:
+    stays = F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
+    each = stored(found.where("doc_id is not null").groupBy("doc_id").agg(stays, F.count(F.lit(1)).alias("n")), "each")
+    gone = each.where("not stays").select(F.col("doc_id").alias("gone_id"))
+    named = docs.where("doc_id is not null").join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    if not each.where("stays and n > 1").isEmpty():
         named = named.dropDuplicates(["doc_id"])
+    unnamed = docs.where("doc_id is null")
     if unnamed.isEmpty():
         return named
     lone = found.where("component_id is null").select("fp").distinct()
