@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import small_batches, table
+from canvass.llm.common import sent_model, small_batches, table
 
 ORDER = 4
 #: Bound of the labelled sample the models are fitted on: documents of each language, and languages.
@@ -31,7 +31,7 @@ CALIBRATION = 5
 REJECT_SD = 8.0
 UNKNOWN = "und"
 #: Distinct pieces of text remembered in a task before it forgets them all.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _START, _END = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -191,7 +191,7 @@ class Scorer:
         """For each text the log-probability by language, the characters with word ends, and the letters."""
         cut = [(t or "").split() for t in texts]
         if len(self.index) > REMEMBERED:
-            self.index, self.rows = {}, self.rows[:0]
+            self.index, self.rows = {}, self.rows[:0].copy()
         fresh = list(set().union(*cut) - self.index.keys()) if cut else []
         if fresh:
             found = [words_of(p) for p in fresh]
@@ -249,13 +249,13 @@ def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = OR
 def predictor(spark: SparkSession, models: LanguageModels):
     """A column function from text to ``lang_pred, score, cross_entropy, rejected``."""
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(models)  # bounded by the sample that it was fitted on
+    sent = sent_model(spark, models)  # bounded by the sample that it was fitted on
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(sent())
         for texts in batches:
-            yield sent.value.judge(*scorer.sums(texts.tolist()))
+            yield scorer.models.judge(*scorer.sums(texts.tolist()))
 
     return predict
 
