@@ -81,43 +81,40 @@ def _unpack_numbers(blob: bytes) -> np.ndarray:
 
 
 class Block:
-    """Documents of a block, and its words in the order of their slots."""
+    """Documents of a block, and its words with their numbers in the order in which they first come.
+
+    So frequent words have small numbers, which pack well.
+    """
 
     def __init__(self, name: str):
         self.name, self.chars, self.ids, self.coded, self.index = name, 0, [], [], {}
 
-    def ordered(self, slots: int) -> list[tuple[int, bytes, int]]:
-        """(slot, word, number by first occurrence) of every word."""
+    def _words(self) -> tuple[list[bytes], int]:
         words = [w.encode("utf-8", "surrogatepass") for w in self.index]
-        return sorted((zlib.crc32(w) % slots, w, i) for i, w in enumerate(words))
+        return words, zlib.crc32(b"\0".join(words))
 
-    def _row(self, slot: int, part: int, mark: int, body: bytes, doc_ids: list | None = None) -> dict:
-        return {"slot": slot, "block": self.name, "part": part, "mark": mark, "doc_ids": doc_ids, "body": body}
+    def _row(self, slot: int, mark: int, numbers: bytes, words: bytes | None = None, doc_ids: list | None = None) -> dict:
+        return {"slot": slot, "block": self.name, "mark": mark, "doc_ids": doc_ids, "words": words, "numbers": numbers}
 
     def word_rows(self, slots: int) -> Iterator[dict]:
-        """The words of each slot, and how many words of the block come before them."""
-        ordered = self.ordered(slots)
-        mark = zlib.crc32(b"\0".join(w for _, w, _ in ordered))
-        at = 0
+        """The words of each slot in order, and their numbers."""
+        words, mark = self._words()
+        ordered = sorted((zlib.crc32(w) % slots, w, i) for i, w in enumerate(words))
         for slot, group in groupby(ordered, key=lambda x: x[0]):
-            words = [w for _, w, _ in group]
-            yield self._row(slot, at, mark, _pack_words(words))
-            at += len(words)
+            some = list(group)
+            numbers = np.fromiter((i for _, _, i in some), np.uint32, len(some))
+            yield self._row(slot, mark, _pack_numbers(numbers), _pack_words([w for _, w, _ in some]))
 
     def document_rows(self, slots: int) -> Iterator[dict]:
         """Documents as numbers of words, about ``ROW_WORDS`` to a row."""
-        ordered = self.ordered(slots)
-        mark = zlib.crc32(b"\0".join(w for _, w, _ in ordered))
-        number = np.empty(len(ordered), np.uint32)
-        number[[i for _, _, i in ordered]] = np.arange(len(ordered), dtype=np.uint32)
+        _, mark = self._words()
         first = size = 0
         for i, codes in enumerate(self.coded):
             size += len(codes)
             if size >= ROW_WORDS or i == len(self.coded) - 1:
                 some = self.coded[first : i + 1]
-                lengths = np.fromiter(map(len, some), np.uint32, len(some))
-                body = _pack_numbers(np.concatenate([lengths, number[np.concatenate(some)]]))
-                yield self._row(0, -1, mark, body, self.ids[first : i + 1])
+                body = _pack_numbers(np.concatenate([np.fromiter(map(len, some), np.uint32, len(some)), *some]))
+                yield self._row(0, mark, body, doc_ids=self.ids[first : i + 1])
                 first, size = i + 1, 0
 
 
@@ -160,7 +157,7 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
     kind = kind if kind in _ID_TYPES else "string"
     id_type = _ID_TYPES[kind]
     schema = pa.schema([
-        ("slot", pa.int32()), ("block", pa.string()), ("part", pa.int32()), ("mark", pa.int64()), ("doc_ids", pa.list_(id_type)), ("body", pa.binary())
+        ("slot", pa.int32()), ("block", pa.string()), ("mark", pa.int64()), ("doc_ids", pa.list_(id_type)), ("words", pa.binary()), ("numbers", pa.binary())
     ])
 
     def explode(rows_of, numbers: bool):
@@ -194,28 +191,30 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
             for row in rows:
                 if row["slot"] != now:  # rows come in order of slots: what is known stays small
                     now, known = row["slot"], {}
-                words = _unpack_words(row["body"])
+                words = _unpack_words(row["words"])
                 for w in words:
                     if w not in known:
                         known[w] = own.encode_ordinary(w.decode("utf-8", "surrogatepass"))
-                row["body"] = _pack_ids([known[w] for w in words])
+                row["words"] = _pack_ids([known[w] for w in words])
             yield _batch(rows, schema)
 
     out_schema = pa.schema([("doc_id", id_type), ("ids", pa.list_(pa.int32()))])
 
     def reassemble(block: pa.Table) -> pa.Table:
-        rows = sorted(block.to_pylist(), key=lambda r: r["part"])
+        rows = block.to_pylist()
         if len({r["mark"] for r in rows}) > 1:
             raise ValueError("the documents came in another order the second time; write them to a table first")
-        found = [_unpack_ids(r["body"]) for r in rows if r["part"] >= 0]
-        counts = np.concatenate([np.zeros(0, np.int64), *[c for c, _ in found]])
-        flat = np.concatenate([np.zeros(0, np.int32), *[f for _, f in found]])
-        starts = np.cumsum(counts) - counts
+        found = [(_unpack_numbers(r["numbers"]), *_unpack_ids(r["words"])) for r in rows if r["words"] is not None]
+        none = np.zeros(0, np.int64)
+        numbers, sizes, flat = (np.concatenate([none, *x]).astype(np.int64) for x in zip(*found)) if found else (none, none, none)
+        flat = flat.astype(np.int32)
+        counts, starts = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
+        counts[numbers], starts[numbers] = sizes, np.cumsum(sizes) - sizes
         of, offsets, ids = [], [np.zeros(1, np.int64)], [flat[:0]]
         for row in rows:
-            if row["part"] >= 0:
+            if row["words"] is not None:
                 continue
-            body = _unpack_numbers(row["body"])
+            body = _unpack_numbers(row["numbers"])
             lengths, codes = body[: len(row["doc_ids"])].astype(np.int64), body[len(row["doc_ids"]) :]
             n = counts[codes]
             ends = np.cumsum(n)
@@ -227,7 +226,7 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
 
     # The partition's number within docs, which is the same wherever that plan is put.
     held = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast(kind), "text")
-    columns = f"slot int, block string, part int, mark bigint, doc_ids array<{kind}>, body binary"
+    columns = f"slot int, block string, mark bigint, doc_ids array<{kind}>, words binary, numbers binary"
     words = held.mapInArrow(explode(Block.word_rows, False), columns)
     coded = words.repartition("slot").sortWithinPartitions("slot").mapInArrow(encode_words, columns)
     documents = held.mapInArrow(explode(Block.document_rows, True), columns)

@@ -83,18 +83,18 @@ def test_packing():
         assert counts.tolist() == [len(x) for x in ids] and flat.tolist() == [i for x in ids for i in x]
 
 
-def test_order_of_words_in_slots_is_that_of_numbers():
+def test_rows_of_a_block_hold_its_documents():
     block = bpe.Block("b")
     rng = random.Random(3)
     for i in range(50):
         words = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 30))]
         block.ids.append(i)
         block.coded.append(np.array([block.index.setdefault(w, len(block.index)) for w in words], np.uint32))
-    rows = list(block.word_rows(5))
-    listed = [w for r in sorted(rows, key=lambda r: r["part"]) for w in bpe._unpack_words(r["body"])]
-    back = {i: w.encode() for w, i in block.index.items()}
+    named = {}
+    for row in block.word_rows(5):
+        named |= dict(zip(bpe._unpack_numbers(row["numbers"]).tolist(), bpe._unpack_words(row["words"])))
+    assert named == {i: w.encode() for w, i in block.index.items()}
     for row in block.document_rows(5):
-        body = bpe._unpack_numbers(row["body"])
+        body = bpe._unpack_numbers(row["numbers"])
         n = len(row["doc_ids"])
-        want = [back[c] for i in row["doc_ids"] for c in block.coded[i].tolist()]
-        assert [listed[c] for c in body[n:]] == want
+        assert body[n:].tolist() == [c for i in row["doc_ids"] for c in block.coded[i].tolist()]
