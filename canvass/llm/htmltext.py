@@ -24,6 +24,8 @@ from canvass.llm.htmlpages import LABELLED_PAGES
 
 #: Elements whose content is never text (fixed by HTML).
 RAW = "script style noscript template iframe svg textarea object canvas math audio video"
+#: Raw elements that run to the end of the page where unclosed, and those that may close themselves (fixed by HTML).
+RUNS_ON, SELF_CLOSED = frozenset(("script", "style", "textarea")), frozenset(("svg", "math"))
 #: Elements that begin and end a block of text (fixed by HTML).
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -39,10 +41,11 @@ MAIN = frozenset(("article", "main"))
 #: Log-odds below which a feature makes its words boilerplate (one word in twenty is main text), and what such a word scores.
 VETO, BOILERPLATE = -3.0, -0.25
 _TOKENS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})(?=[\s/>])([^>]*)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
+_RAW_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW.split()}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAMES = re.compile(r"[a-z]+")
 
@@ -62,11 +65,24 @@ def pieces(html: str) -> Iterator[Piece]:
     """The page as a row of tags and texts; features are open elements and names in their class, id and role."""
     stack: list[tuple[str, frozenset[str], str | None]] = [("", frozenset(), None)]
     marked = re.search("<(?:article|main)", html, re.I)
-    for m in _TOKENS.finditer(html):
-        raw, closing, name, attributes = m.groups()
+    at, unclosed = 0, set()
+    while m := _TOKENS.match(html, at):
+        at = m.end()
+        raw, inside, closing, name, attributes = m.groups()
+        if raw:
+            name, attributes = raw.lower(), inside
+            if name in SELF_CLOSED and inside.endswith("/"):
+                continue
+            if name not in unclosed:
+                if end := _RAW_ENDS[name].search(html, at):
+                    at = end.end()
+                    continue
+                unclosed.add(name)  # looked for once, however many are open
+            if name in RUNS_ON:
+                break
         if name is None:
             whole = m.group()
-            if raw is None and (whole == "<" or whole[0] != "<"):
+            if whole == "<" or whole[0] != "<":
                 features = stack[-1][1]
                 if marked and not features & MAIN:
                     features = features | {"beside-main"}

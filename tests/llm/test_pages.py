@@ -116,3 +116,15 @@ def test_pages_of_any_kind(spark):
 def test_words_and_tags_have_the_signs_of_the_method():
     weights = htmltext.learn()
     assert all(w < 0 for w in weights.tags.values()) and weights.of_word(frozenset(("p", "article"))) > 0 > weights.of_word(frozenset(("p", "nav")))
+
+
+@pytest.mark.parametrize("tag", ["<svg-icon name=x></svg-icon>", "<video-player></video-player>", "<svg class=i/>", "<math/>", "<svg viewBox='0 0 1 1'><text>no</text></svg>", "<canvas>", "<object-x>"])
+def test_elements_like_raw_ones_swallow_nothing(tag):
+    page = f"<html><body><article><p>Words of the text before it</p>{tag}<p>and words of the text after it</p></article></body></html>"
+    assert htmltext.main_text(page, htmltext.learn()) == "Words of the text before it\nand words of the text after it"
+
+
+def test_unclosed_scripts_run_to_the_end():
+    for name in ("script", "STYLE", "textarea"):
+        assert htmltext.main_text(f"<p>Words before it</p><{name} a=b>x <p>and none after</p>", htmltext.learn()) == "Words before it"
+    assert htmltext.main_text("<p>Words before it</p>" + "<canvas>" * 20000 + "<p>and some words after</p>" * 100, htmltext.learn())
