@@ -44,6 +44,10 @@ def _around(main: str) -> str:
     )
 
 
+def _teasers(name: str, n: int = 3) -> str:
+    return f"<section class='{name}' data-label='other'>" + f"<article><h3>{_words(4)}</h3><p>{_words(20)}</p></article>" * n + "</section>"
+
+
 def _inside(name: str) -> str:
     return f"<div class='{name}' data-label='other'><p>{_words(10)}</p><a href=/>{_words(2)}</a><span>{_words(4)}</span></div>"
 
@@ -53,4 +57,6 @@ LABELLED_PAGES = (
     *(_around(f"<div class='{name}' data-label='main'><h1>{_words(6)}</h1>{_prose(3)}</div>") for name in CONTENT_NAMES),
     *(_around(f"{_inside(name)}<article data-label='main'><h1>{_words(6)}</h1>{_prose(1)}{_inside(name)}{_prose(1)}</article>{_inside(name)}") for name in BOILERPLATE_NAMES),
     *(_around(f"<p>{_words(9)}</p><div><p>{_words(30)}</p></div><article data-label='main'><h1>{_words(6)}</h1>{_prose(1)}</article><p>{_words(9)}</p>") for _ in range(3)),
+    # articles that are teasers or comments, beside a body in a div
+    *(_around(f"<div class='{body}' data-label='main'><h1>{_words(6)}</h1>{_prose()}</div>{_teasers(name)}") for body in CONTENT_NAMES for name in ("teaser", "comments", "related")),
 )

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canvass.llm.common import small_batches, table
-from canvass.llm.htmlpages import LABELLED_PAGES
+from canvass.llm.htmlpages import BOILERPLATE_NAMES, LABELLED_PAGES
 
 #: Elements whose content is never text (fixed by HTML).
 RAW = "script style noscript template iframe svg textarea object canvas math audio video"
@@ -37,6 +37,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An element's end is left out where one of these opens (fixed by HTML).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MAIN = frozenset(("article", "main"))
+BESIDE = "beside-main"
+#: Share of the page's words outside named boilerplate from which an element of MAIN is the page's.
+MAIN_SHARE = 0.5
+_BOILERPLATE = frozenset("." + x for x in BOILERPLATE_NAMES) | {"nav", "aside", "footer", "header", "form"}
 
 #: Log-odds below which a feature makes its words boilerplate (one word in twenty is main text), and what such a word scores.
 VETO, BOILERPLATE = -3.0, -0.25
@@ -59,12 +63,45 @@ class Piece:
     features: frozenset[str]
     label: str | None
     breaks: bool = False
+    #: Number of the innermost element of MAIN around it, 0 without one.
+    main: int = 0
 
 
-def pieces(html: str) -> Iterator[Piece]:
-    """The page as a row of tags and texts; features are open elements and names in their class, id and role."""
-    stack: list[tuple[str, frozenset[str], str | None]] = [("", frozenset(), None)]
-    marked = re.search("<(?:article|main)", html, re.I)
+def pieces(html: str) -> list[Piece]:
+    """The page as a row of tags and texts; features are open elements and names in their class, id and role.
+
+    What encloses the page's own article or main says nothing about it; words beside it are marked. One
+    is the page's own if its names aren't of boilerplate and it holds much of the page's words, so that
+    teasers and comments in articles are like any other element.
+    """
+    outer = [(0, frozenset(), True)]
+    row = list(_parsed(html, outer))
+    held = [0] * len(outer)
+    for piece in row:
+        if piece.text is not None and not piece.features & _BOILERPLATE:
+            held[piece.main] += len(piece.text.split())
+    total = sum(held)
+    for k in range(len(outer) - 1, 0, -1):
+        held[outer[k][0]] += held[k]
+    own = {k for k in range(1, len(outer)) if held[k] and held[k] >= MAIN_SHARE * total and not outer[k][2]}
+    around, inside = [frozenset()], [False]
+    for k, (parent, features, _) in enumerate(outer[1:], 1):
+        around.append(frozenset() if k in own else features | around[parent])
+        inside.append(k in own or inside[parent])
+    for piece in row:
+        piece.features |= around[piece.main]
+        if own and piece.text is not None and not inside[piece.main]:
+            piece.features |= {BESIDE}
+    return row
+
+
+def _parsed(html: str, outer: list[tuple[int, frozenset[str], bool]]) -> Iterator[Piece]:
+    """The pieces with features from the innermost element of MAIN inwards.
+
+    For each such element, ``outer`` gets the number of the one around it, the features between the
+    two, and whether its own names are of boilerplate.
+    """
+    stack: list[tuple[str, frozenset[str], str | None, int]] = [("", frozenset(), None, 0)]
     at, unclosed = 0, set()
     while m := _TOKENS.match(html, at):
         at = m.end()
@@ -83,10 +120,8 @@ def pieces(html: str) -> Iterator[Piece]:
         if name is None:
             whole = m.group()
             if whole == "<" or whole[0] != "<":
-                features = stack[-1][1]
-                if marked and not features & MAIN:
-                    features = features | {"beside-main"}
-                yield Piece(whole, "", features, stack[-1][2])
+                _, features, label, main = stack[-1]
+                yield Piece(whole, "", features, label, main=main)
             continue
         name = name.lower()
         if closing:
@@ -98,16 +133,17 @@ def pieces(html: str) -> Iterator[Piece]:
             ends |= CLOSES.get(name, set())
             while stack[-1][0] in ends:
                 stack.pop()
-            _, features, label = stack[-1]
-            if name in MAIN:  # what encloses the article says nothing about it
-                features = frozenset()
+            _, features, label, main = stack[-1]
             own, names = {name}, {}
             if "=" in attributes:
                 names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
                 for k in ("class", "id", "role"):
                     own.update("." + x for x in _NAMES.findall(names.get(k, "").lower()))
-            stack.append((name, features | own, names.get("data-label", label)))
-        yield Piece(None, name, stack[-1][1], None, name in BLOCKS)
+            if name in MAIN:
+                outer.append((main, features, not _BOILERPLATE.isdisjoint(own)))
+                features, main = frozenset(), len(outer) - 1
+            stack.append((name, features | own, names.get("data-label", label), main))
+        yield Piece(None, name, stack[-1][1], None, name in BLOCKS, stack[-1][3])
 
 
 @dataclass
@@ -120,7 +156,7 @@ class Weights:
 
     def of_word(self, features: frozenset[str]) -> float:
         found = [self.words.get(f, self.prior) for f in features]
-        if found and min(found) < VETO:
+        if any(self.words.get(f, self.prior) < VETO for f in features if f != BESIDE):
             return BOILERPLATE
         return min(max(1.0 + sum(x - self.prior for x in found), 0.05), 3.0)
 
@@ -157,7 +193,7 @@ def learn(labelled: tuple[str, ...] = LABELLED_PAGES) -> Weights:
 
 def main_text(html: str | None, weights: Weights) -> str:
     """Blocks of the best region, one to a line; white space inside a block is one space."""
-    row = list(pieces(html or ""))
+    row = pieces(html or "")
     known: dict[frozenset[str], float] = {}
     best = run = 0.0
     start = first = last = 0

@@ -128,3 +128,27 @@ def test_unclosed_scripts_run_to_the_end():
     for name in ("script", "STYLE", "textarea"):
         assert htmltext.main_text(f"<p>Words before it</p><{name} a=b>x <p>and none after</p>", htmltext.learn()) == "Words before it"
     assert htmltext.main_text("<p>Words before it</p>" + "<canvas>" * 20000 + "<p>and some words after</p>" * 100, htmltext.learn())
+
+
+_STORY = "<h1>The title of it</h1>" + "".join(f"<p>Paragraph {i} of the story has quite a few words in it to read</p>" for i in range(8))
+
+
+@pytest.mark.parametrize("beside", [
+    "<section class='comments'>" + "<article><p>I liked this story a lot, thank you</p></article>" * 4 + "</section>",
+    "<div class='related'>" + "<article class='teaser'><h3>Another</h3><p>Read this other story as well</p></article>" * 3 + "</div>",
+    "<article class='teaser'><p>Read this other story as well</p></article>", "<script>var x = '<article>';</script>", "<!-- <main> -->",
+    "<article-card></article-card>", "<main></main>",
+])
+def test_a_body_in_a_div_beside_other_articles(beside):
+    want = "\n".join(["The title of it", *(f"Paragraph {i} of the story has quite a few words in it to read" for i in range(8))])
+    weights = htmltext.learn()
+    for page in (f"<div class='content'>{_STORY}</div>{beside}", f"{beside}<div class='content'>{_STORY}</div>"):
+        assert htmltext.main_text(f"<html><body>{BOXES[0]}{page}{BOXES[-1]}</body></html>", weights) == want
+
+
+def test_comments_inside_the_article_leave_it_the_page_s_own():
+    inside = "<div class='comments'><article><p>I liked this story a lot</p></article></div>"
+    page = f"<body><p>Some words beside it</p><article>{_STORY}{inside}</article><p>more words beside it</p></body>"
+    assert htmltext.main_text(page, htmltext.learn()).split("\n")[0] == "The title of it"
+    assert "beside" not in htmltext.main_text(page, htmltext.learn())
+    assert htmltext.main_text("<article>" * 20000 + "deep words", htmltext.learn()) == "deep words"
