@@ -2,11 +2,13 @@
 
 Each line, paragraph and whole text is compared with the templates of licences as a bag of word
 bigrams. The coefficient of bags of a and b bigrams is at most 2 min(a, b) / (a + b), so a template
-whose size is out of bounds is never compared.
+whose size is out of bounds is never compared. Windows over the whole text, from a template's size up
+to its upper bound, find the notices inside longer lines and paragraphs.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -51,16 +53,76 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "{}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "{}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. "
+)
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
+_NAMES = (
+    ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache License, Version 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("CC0-1.0", "CC0 1.0 Universal License"), ("GPL-2.0", "GNU General Public License v2.0"),
+    ("GPL-3.0", "GNU General Public License v3.0"), ("LGPL-3.0", "GNU Lesser General Public License v3.0"), ("MIT", "MIT License"),
+    ("MPL-2.0", "Mozilla Public License 2.0"), ("MPL-2.0", "Mozilla Public License, version 2.0"),
+)
+#: Further wordings of the same licences (fixed values), which the SQL below doesn't have: notices by name and the conditions of BSD.
+VARIANTS: tuple[tuple[str, str], ...] = (
+    *((name, f"{verb} under the {text}") for name, text in _NAMES for verb in ("Licensed", "Released", "Distributed", "Available")),
+    ("BSD-2-Clause", _BSD.format("", "") + _BSD_END),
+    ("BSD-2-Clause", _BSD.format("1. ", "2. ") + _BSD_END),
+    ("BSD-3-Clause", _BSD.format("", "") + _BSD_THIRD.format("") + _BSD_END),
+    ("BSD-3-Clause", _BSD.format("1. ", "2. ") + _BSD_THIRD.format("3. ") + _BSD_END),
+)
+
 
 class Scanner:
-    """Templates sorted by size; ``best`` compares a list of words with those in bounds."""
+    """Templates sorted by size; ``best`` compares a list of words with those in bounds, ``inside`` its windows."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES + VARIANTS, threshold: float = THRESHOLD):
         self.threshold, self.find, self.gap = threshold, re.compile(WORD).findall, re.compile(GAP)
         bags = [(name, Counter(pairwise(x.lower() for x in self.find(text)))) for name, text in templates]
         self.bags = sorted(((sum(bag.values()), name, bag) for name, bag in bags), key=lambda t: t[:2])
         self.sizes = [n for n, _, _ in self.bags]
         self.bound = threshold / (2 - threshold)
+        self.having: dict[tuple[str, str], list[int]] = {}
+        for i, (_, _, bag) in enumerate(self.bags):
+            for pair in bag:
+                self.having.setdefault(pair, []).append(i)
+
+    def inside(self, words: list[str]) -> tuple[float, str] | None:
+        """The same over all windows of a template's size or more; shorter ones lose what tells licences apart.
+
+        The best window begins and ends with bigrams of the template or has just its size.
+        """
+        pairs, hits, found = list(pairwise(w.lower() for w in words)), {}, None
+        for at, pair in enumerate(pairs):
+            for i in self.having.get(pair, ()):
+                hits.setdefault(i, []).append(at)
+        for i, places in hits.items():
+            size, name, template = self.bags[i]
+            need, longest = math.ceil(self.threshold * size - 1e-9), math.floor(size / self.bound + 1e-9)
+            if len(pairs) < size:
+                continue
+            for first in range(len(places) - need + 1):
+                begin = places[first]
+                if places[first + need - 1] - begin >= longest:
+                    continue
+                left, common = dict(template), 0
+                for at in places[first:]:
+                    if at - begin >= longest:
+                        break
+                    if left[pairs[at]]:
+                        left[pairs[at]] -= 1
+                        common += 1
+                        dice = 2 * common / (max(at - begin + 1, size) + size)
+                        if dice >= self.threshold and (found is None or (-dice, name) < (-found[0], found[1])):
+                            found = dice, name
+        return found
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
         """Highest coefficient at or above the threshold, with the first licence by name among equals."""
@@ -82,24 +144,25 @@ class Scanner:
         lines = [self.find(x) for x in text.split("\n")]
         found = [x for x in map(self.best, lines) if x]
         n = len(found)
+        whole = [w for x in lines for w in x]
         if len(lines) > 1:
-            whole = [w for x in lines for w in x]
             some = [whole] if len(whole) * self.bound <= self.sizes[-1] + 1 else []
             parts = self.gap.split(text)
             if len(parts) > 1 or not some:
                 some += [self.find(p) for p in parts]
             found += [x for x in map(self.best, some) if x]
+        found += [x for x in [self.inside(whole)] if x]
         if not found:
             return None, None, 0
         dice, name = min(found, key=lambda x: (-x[0], x[1]))
         return name, dice, n
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, license, dice, n_lines`` of every row: the best template over its lines, paragraphs and whole text.
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + VARIANTS, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, license, dice, n_lines`` of every row: the best template over its lines, paragraphs, whole text and windows.
 
-    ``license`` and ``dice`` are null where nothing reaches the threshold; ``n_lines`` counts the lines
-    that do. Ties go to the first licence by name. Null, empty and blank texts have none. Repeated
+    ``license`` and ``dice`` are null where nothing reaches the threshold; ``n_lines`` counts the whole
+    lines that do. Ties go to the first licence by name. Null, empty and blank texts have none. Repeated
     rows and null ids keep their rows; other columns of ``docs`` are not read.
     """
     small_batches(docs.sparkSession)
@@ -125,7 +188,7 @@ def _values() -> str:
     return ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
 
 
-#: The same in SQL: segments, sizes in bounds, bags of bigrams, and the best of each document.
+#: In SQL, without windows and ``VARIANTS``: segments, sizes in bounds, bags of bigrams, and the best of each document.
 OP4_SQL = rf"""
 WITH templates(tid, license, body) AS (VALUES {_values()}),
 twords AS (SELECT tid, license, regexp_extract_all(lower(body), '{WORD}') AS w FROM templates),

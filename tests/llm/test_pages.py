@@ -1,5 +1,9 @@
 """URL filters, license scans and HTML extraction on small pages and texts."""
 
+import random
+from collections import Counter
+from itertools import pairwise
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +156,31 @@ def test_comments_inside_the_article_leave_it_the_page_s_own():
     assert htmltext.main_text(page, htmltext.learn()).split("\n")[0] == "The title of it"
     assert "beside" not in htmltext.main_text(page, htmltext.learn())
     assert htmltext.main_text("<article>" * 20000 + "deep words", htmltext.learn()) == "deep words"
+
+
+@pytest.mark.parametrize("name, notice", [
+    ("MIT", "This project is released under the MIT License."), ("MIT", "Licensed under the MIT License."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License and then prose goes on for a while on the same line"),
+    ("Apache-2.0", "Licensed under the Apache License 2.0"), ("BSD-2-Clause", licences._BSD.format("1. ", "2. ") + licences._BSD_END),
+])
+def test_notices_inside_longer_lines(name, notice):
+    scanner, prose = licences.Scanner(), "somebody wrote these words of prose before and after it " * 30
+    for text in (notice, prose + notice, notice + " " + prose, prose + notice.replace(" ", "\n", 3) + " " + prose):
+        assert scanner.scan(text)[:2] == (name, 1.0)
+    assert scanner.scan(prose + "Licensed under CC BY 3.0 " + prose)[0] is None
+
+
+def test_windows_are_the_best_of_all():
+    templates = (("a", "k l m n o p"), ("b", "k l k l m k l"))
+    rng, scanner, seen = random.Random(3), licences.Scanner(templates), 0
+    for _ in range(2000):
+        words, want = rng.choices("klmnop", (4, 4, 3, 2, 2, 1), k=rng.randrange(1, 25)), []
+        for name, text in templates:
+            own = Counter(pairwise(text.split()))
+            for i in range(len(words)):
+                for j in range(i + len(text.split()), len(words) + 1):
+                    dice = 2 * (Counter(pairwise(words[i:j])) & own).total() / (j - i - 1 + own.total())
+                    want += [(-dice, name)] if dice >= licences.THRESHOLD else []
+        seen += bool(want)
+        assert scanner.inside(words) == ((-min(want)[0], min(want)[1]) if want else None)
+    assert seen > 20
