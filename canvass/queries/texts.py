@@ -128,10 +128,25 @@ k AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text),
 u AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM q)
 SELECT u.item_id, k.doc_id, round(count(*) / any_value(u.n), 6) AS overlap FROM u JOIN k USING (w) GROUP BY u.item_id, k.doc_id HAVING count(*) / any_value(u.n) >= 0.7""")
 def token_overlap(spark, d):
-    """Share of a query's tokens (repeats counted) that a document has, at 0.7 or more."""
-    q = table(spark, d, "benchmark").where("item_id < 5").select("item_id", X.search_tokens(F.col("text")).alias("t"))
+    """The share for the first five items, as its SQL has it; the query of all items is the next one."""
+    return _overlaps(table(spark, d, "benchmark").where("item_id < 5"), table(spark, d, "documents"))
+
+
+@query("X19_token_overlap_all", r"""
+WITH q AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 2) AS t FROM benchmark),
+k AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 2)) AS w FROM documents),
+u AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM q)
+SELECT u.item_id, k.doc_id, round(count(*) / any_value(u.n), 6) AS overlap FROM u JOIN k USING (w) GROUP BY u.item_id, k.doc_id HAVING count(*) / any_value(u.n) >= 0.7""")
+def token_overlap_all(spark, d):
+    """The share for every item and document."""
+    return _overlaps(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+def _overlaps(items, docs):
+    """Share of an item's tokens (repeats counted) that a document has, at 0.7 or more."""
+    q = items.select("item_id", X.search_tokens(F.col("text")).alias("t"))
     q = q.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    k = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(X.search_tokens(F.col("text")))).alias("w"))
+    k = docs.select("doc_id", F.explode(F.array_distinct(X.search_tokens(F.col("text")))).alias("w"))
     hits = k.join(F.broadcast(q), "w").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
     return hits.where(F.col("hits") / F.col("n") >= 0.7).select("item_id", "doc_id", F.round(F.col("hits") / F.col("n"), 6).alias("overlap"))
 

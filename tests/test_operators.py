@@ -1,6 +1,7 @@
 """Operators on small fixtures."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -176,3 +177,14 @@ def test_purity(spark):
     phrase = "This exact sentence is repeated by many people everywhere."
     rows = spark.createDataFrame([("k", f"{phrase} One.", 0), ("k", f"Two. {phrase}", 1), ("k", "Nothing alike in this one at all.", 2)], "k string, t string, o int")
     assert E.purity(rows, "k", "t", "o", top=1).first().purity == 0.6667
+
+
+def test_token_overlap_has_every_item(spark, sf):
+    from canvass.queries import QUERIES
+
+    tokens = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) >= 2]
+    items = [(r.item_id, tokens(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, set(tokens(r.text))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = {(i, d) for i, t in items for d, words in docs if t and sum(w in words for w in t) / len(t) >= 0.7}
+    assert {(r.item_id, r.doc_id) for r in QUERIES["X19_token_overlap_all"](spark, sf).collect()} == want
+    assert any(i >= 5 for i, _ in want)
