@@ -43,8 +43,8 @@ def scope_replace(spark, d):
 @query("W6_scoped_delete", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0))")
 def scoped_delete(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    gone = rows.where("o_orderkey % 5 = 0 and o_orderstatus = 'F'").select("o_orderkey")
-    return rows.join(gone, "o_orderkey", "left_anti").select("o_orderkey")
+    gone = rows.where("o_orderkey % 5 = 0").select("o_orderkey")
+    return tables.scoped_delete(rows, gone, F.col("o_orderstatus") == "F").select("o_orderkey")
 
 
 @query("W7_evolved", "SELECT n_nationkey, n_name, NULL::BIGINT AS added FROM nation")
@@ -67,4 +67,4 @@ def conditional_upsert(spark, d):
 @query("W19_backfill", "SELECT doc_id, coalesce(CASE WHEN doc_id % 4 <> 0 THEN source END, 'regulations_gov') AS source FROM documents")
 def backfill(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("source"))
-    return rows.withColumn("source", F.coalesce("source", F.lit("regulations_gov")))
+    return tables.backfill(rows, "source", "regulations_gov")

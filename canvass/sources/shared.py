@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a folder of this run."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests on one machine), a folder of this run.
+
+    On a cluster the setting must be there, as executors and driver share no local folder.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="canvass-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
