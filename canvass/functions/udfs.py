@@ -62,16 +62,37 @@ def ratio_bound(a, b):
     return F.when(la + lb == 0, 1.0).otherwise(2.0 * F.least(la, lb) / (la + lb))
 
 
+def ratio_at_least(threshold: float):
+    """The ratio where it reaches ``threshold``, else null; two cheaper bounds of it are tried first."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, matcher = [], SequenceMatcher(None)
+        for x, y in zip(a, b):
+            found = None
+            if x is not None and y is not None:
+                if y != matcher.b:
+                    matcher.set_seq2(y)  # what is counted of the second text serves all that follow
+                matcher.set_seq1(x)
+                if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold:
+                    found = matcher.ratio()
+            out.append(found if found is not None and found >= threshold else None)
+        return pd.Series(out, dtype="float64")
+
+    return run
+
+
+def mock_vector(text: str | None, dim: int) -> np.ndarray:
+    seed = int.from_bytes(hashlib.sha256((text or "").encode()).digest()[:8], "big")
+    v = np.random.default_rng(seed).normal(size=dim)
+    return (v / np.linalg.norm(v)).astype(np.float32)
+
+
 def mock_embedding(dim: int = 64):
     """Unit vectors drawn from a generator seeded with the text's SHA-256: the same text, the same vector."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(text: pd.Series) -> pd.Series:
-        out = []
-        for t in text:
-            seed = int.from_bytes(hashlib.sha256((t or "").encode()).digest()[:8], "big")
-            v = np.random.default_rng(seed).normal(size=dim)
-            out.append((v / np.linalg.norm(v)).astype(np.float32))
-        return pd.Series(out)
+        return pd.Series([mock_vector(t, dim) for t in text])
 
     return embed

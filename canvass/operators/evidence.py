@@ -8,18 +8,14 @@ from pyspark.sql import functions as F
 
 from canvass.functions import ids, scores
 from canvass.functions import text as X
-from canvass.functions.udfs import ratio_bound, similarity_ratio
+from canvass.operators.joins import alike, containing, small_side
 from canvass.sources.shared import stored
 
 FUZZY_RATIO = 0.85
 #: Entity types that a registry may name (fixed values); others are "other".
 ENTITY_TYPES = ("trade_association", "advocacy_group", "company", "unknown", "other")
-#: Registries up to this size are broadcast to the clusters.
-BROADCAST_PHRASES = 100_000
-
-
 def phrase_hits(clusters: DataFrame, registry: DataFrame, fuzzy: float = FUZZY_RATIO) -> DataFrame:
-    """Hits ``cluster_id, entity_name, phrase, ord, ratio`` of registry phrases in cluster texts.
+    """Hits ``cluster_id, entity_name, phrase, ord, exact, ratio`` of registry phrases in cluster texts.
 
     ``clusters`` has ``cluster_id, text``; ``registry`` has ``entity_name, phrase, ord``. A phrase
     contained in the normalized text hits with ratio 1; others by the ratio of both texts,
@@ -27,22 +23,18 @@ def phrase_hits(clusters: DataFrame, registry: DataFrame, fuzzy: float = FUZZY_R
     """
     texts = clusters.select("cluster_id", X.normalize(F.col("text")).alias("t"))
     phrases = registry.select("entity_name", "phrase", "ord", X.normalize(F.col("phrase")).alias("p")).where("p <> ''")
-    if phrases.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
-        phrases = F.broadcast(phrases)
-    exact = F.contains(F.col("t"), F.col("p"))
-    near = texts.join(phrases, exact | (ratio_bound(F.col("p"), F.col("t")) >= fuzzy)).withColumn("exact", exact)
-    rest = near.where(~F.col("exact")).withColumn("ratio", similarity_ratio("p", "t")).where(F.col("ratio") >= fuzzy)
     columns = ["cluster_id", "entity_name", "phrase", "ord"]
-    return near.where("exact").select(*columns, F.lit(True).alias("exact"), F.lit(1.0).alias("ratio")).union(
-        rest.select(*columns, F.lit(False), "ratio")
-    )
+    exact = containing(texts, phrases).select(*columns, F.lit(True).alias("exact"), F.lit(1.0).alias("ratio"))
+    rest = alike(phrases, texts, "p", "t", fuzzy, few="p").where(~F.contains(F.col("t"), F.col("p")))
+    return exact.union(rest.select(*columns, F.lit(False), "ratio"))
 
 
-def attributions(clusters: DataFrame, registry: DataFrame, fuzzy: float = FUZZY_RATIO) -> DataFrame:
+def attributions(clusters: DataFrame, registry: DataFrame, fuzzy: float = FUZZY_RATIO, registry_only: bool = True) -> DataFrame:
     """One row for each cluster and entity with phrases: the best evidence, its score and label.
 
     Exact hits beat fuzzy ones; the first exact phrase, or the fuzzy one of highest ratio (first among
-    equals), is named. Entities without any phrase give no row.
+    equals), is named. Entities without any phrase give no row. By contract an entity without a hit is named as
+    known from the registry only; with ``registry_only`` off such rows, clusters times entities, are left out.
     """
     hits = phrase_hits(clusters, registry, fuzzy)
     best = F.struct((-F.col("ratio")).alias("r"), "ord", "phrase")
@@ -52,8 +44,11 @@ def attributions(clusters: DataFrame, registry: DataFrame, fuzzy: float = FUZZY_
         F.min(F.when(~F.col("exact"), best))["phrase"].alias("fuzzy_phrase"),
     )
     entities = registry.where("entity_name is not null and trim(entity_name) <> ''").groupBy("entity_name").agg(F.count("phrase").alias("n_phrases"))
-    every = clusters.select("cluster_id", "text").join(F.broadcast(entities.where("n_phrases > 0")))
-    rows = every.join(found, ["cluster_id", "entity_name"], "left").fillna(0, ["n_exact", "n_fuzzy"])
+    texts, entities = clusters.select("cluster_id", "text"), entities.where("n_phrases > 0")
+    if registry_only:
+        rows = texts.join(small_side(entities, "entity_name")).join(found, ["cluster_id", "entity_name"], "left").fillna(0, ["n_exact", "n_fuzzy"])
+    else:
+        rows = texts.join(found, "cluster_id").join(entities, "entity_name")
     kind = F.when(F.col("n_exact") > 0, "exact_phrase_match").when(F.col("n_fuzzy") > 0, "fuzzy_phrase_match").otherwise("known_campaign_registry")
     rows = rows.withColumns({
         "evidence_type": kind, "matched_phrase": F.when(F.col("n_exact") > 0, F.col("exact_phrase")).otherwise(F.col("fuzzy_phrase")),
@@ -83,15 +78,15 @@ def rule_matches(clusters: DataFrame, rules: DataFrame, min_words: int = 6, max_
     """
     phrases = stored(candidate_phrases(clusters, min_words, max_words), "phrases")
     bodies = rules.select("ord", "section", "body", X.normalize(F.col("body")).alias("b")).where("b <> ''")
-    inside = phrases.join(F.broadcast(bodies), F.contains(F.col("b"), F.col("p")))
+    inside = containing(bodies.select("ord", "section", F.col("b").alias("t")), phrases)
     exact = inside.groupBy("cluster_id", "phrase_ord", "phrase").agg(F.min(F.struct("ord", "section"))["section"].alias("section"))
     exact = exact.select("cluster_id", "phrase_ord", "phrase", "section", F.col("phrase").alias("rule_phrase"), F.lit(1.0).alias("ratio"))
     sentences = bodies.select("ord", "section", F.posexplode(F.filter(F.transform(X.sentences(F.col("body")), X.strip), lambda s: s != "")).alias("sent_ord", "rule_phrase"))
     sentences = sentences.withColumn("s", X.normalize(F.col("rule_phrase")))
     left = phrases.join(exact.select("cluster_id", "phrase_ord"), ["cluster_id", "phrase_ord"], "left_anti")
-    scored = left.join(F.broadcast(sentences), ratio_bound(F.col("p"), F.col("s")) >= threshold).withColumn("ratio", similarity_ratio("p", "s"))
+    scored = alike(left, sentences, "p", "s", threshold, few="s")
     first = F.struct((-F.col("ratio")).alias("r"), "ord", "sent_ord", "section", "rule_phrase")
-    best = scored.where(F.col("ratio") >= threshold).groupBy("cluster_id", "phrase_ord", "phrase").agg(F.min(first).alias("x"))
+    best = scored.groupBy("cluster_id", "phrase_ord", "phrase").agg(F.min(first).alias("x"))
     fuzzy = best.select("cluster_id", "phrase_ord", "phrase", F.col("x.section"), F.col("x.rule_phrase"), (-F.col("x.r")).alias("ratio"))
     return exact.unionByName(fuzzy)
 

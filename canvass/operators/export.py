@@ -67,7 +67,7 @@ def repeated_sentences(texts: DataFrame, key: str, text: str, order: str, top: i
 def purity(texts: DataFrame, key: str, text: str, order: str, top: int = 3, min_chars: int = 31) -> DataFrame:
     """Share of each key's texts that contain one of its most repeated sentences, without regard to case."""
     best = repeated_sentences(texts, key, text, order, top, min_chars).groupBy(key).agg(F.collect_list(F.lower("sentence")).alias("best"))
-    rows = texts.join(F.broadcast(best), key, "left")
+    rows = texts.join(best, key, "left")
     hit = F.coalesce(F.exists("best", lambda s: F.contains(F.lower(text), s)), F.lit(False))
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(hit) / F.count(F.lit(1)), 4).alias("purity"))
 
@@ -86,3 +86,8 @@ def first_by(rows: DataFrame, key: str | list[str], *order: Column | str) -> Dat
     """The first row of each key: DISTINCT ON."""
     keys = [key] if isinstance(key, str) else key
     return rows.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
+
+
+def newest(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first ``n`` rows of a list by ``order``, as a catalog by priority or requests by their time."""
+    return rows.orderBy(*order).limit(n)

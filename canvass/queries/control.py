@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canvass.functions import scores
-from canvass.operators.export import first_by
+from canvass.operators import joins
+from canvass.operators.export import first_by, newest
 from canvass.queries.registry import query
 from canvass.sources.testdata import table
 
@@ -17,8 +18,8 @@ def requests(spark, d):
 
 @query("J12_without_active", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O')")
 def without_active(spark, d):
-    active = requests(spark, d).where("o_orderstatus = 'O'")
-    return table(spark, d, "customer").join(active, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    orders = requests(spark, d).withColumnRenamed("o_custkey", "c_custkey")
+    return joins.without_active(table(spark, d, "customer"), orders, "c_custkey", F.col("o_orderstatus") == "O").select("c_custkey")
 
 
 _LATEST = "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'F') WHERE r = 1"
@@ -61,9 +62,7 @@ def distinct_on(spark, d):
 @query("J14_scope_fallback", "SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderstatus = 'F' OR NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderstatus = 'F')")
 def scope_fallback(spark, d):
     """Rows of the preferred kind; all rows of a docket that has none."""
-    preferred = F.max(F.col("o_orderstatus") == "F").over(W.partitionBy("o_custkey"))
-    rows = requests(spark, d).withColumn("has", preferred)
-    return rows.where("o_orderstatus = 'F' or not has").select("o_custkey", "o_orderkey")
+    return joins.scope_or_fallback(requests(spark, d), "o_custkey", "o_orderstatus", "F").select("o_custkey", "o_orderkey")
 
 
 @query("J17_watchlist", """
@@ -71,21 +70,22 @@ WITH w(kind, value) AS (VALUES ('segment', 'building'), ('nation', '7'), ('keywo
 SELECT c_custkey, max(CASE WHEN w.kind = 'segment' AND lower(c_mktsegment) = w.value THEN 1 WHEN w.kind = 'nation' AND c_nationkey::VARCHAR = w.value THEN 1 WHEN w.kind = 'keyword' AND contains(lower(c_name), w.value) THEN 1 ELSE 0 END) = 1 AS watched
 FROM customer, w GROUP BY c_custkey""")
 def watchlist(spark, d):
-    """The watchlist is a short configured list, met by broadcast."""
-    w = F.broadcast(spark.createDataFrame([("segment", "building"), ("nation", "7"), ("keyword", "#00000001")], "kind string, value string"))
+    """The watchlist is a short configured list."""
+    w = spark.createDataFrame([("segment", "building"), ("nation", "7"), ("keyword", "#00000001")], "kind string, value string")
     hit = F.when(F.col("kind") == "segment", F.lower("c_mktsegment") == F.col("value")).when(F.col("kind") == "nation", F.col("c_nationkey").cast("string") == F.col("value")).when(
         F.col("kind") == "keyword", F.contains(F.lower("c_name"), F.col("value"))
     ).otherwise(False)
     customers = table(spark, d, "customer")
-    found = customers.join(w, hit).select("c_custkey").distinct().withColumn("watched", F.lit(True))
+    found = joins.watched(customers, w, hit).select("c_custkey", F.lit(True).alias("watched"))
     return customers.join(found, "c_custkey", "left").select("c_custkey", F.coalesce("watched", F.lit(False)).alias("watched"))
 
 
 @query("J18_prior_catalog", "SELECT p_partkey, coalesce(CASE WHEN s.n > 0 THEN 'monitoring' END, 'discovered') AS status, coalesce(s.n, 0)::BIGINT AS requests FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) s ON s.l_partkey = p_partkey")
 def prior_catalog(spark, d):
-    prior = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
-    rows = table(spark, d, "part").join(prior, "p_partkey", "left")
-    return rows.select("p_partkey", F.when(F.col("n") > 0, "monitoring").otherwise("discovered").alias("status"), F.coalesce("n", F.lit(0)).alias("requests"))
+    prior = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("requests"))
+    prior = prior.withColumn("status", F.lit("monitoring"))
+    found = table(spark, d, "part").select("p_partkey", F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("requests"))
+    return joins.with_prior(found, prior, "p_partkey", ("status", "requests")).fillna({"status": "discovered", "requests": 0})
 
 
 @query("S14_catalog_discovery", "SELECT DISTINCT n_name AS agency, k AS keyword FROM nation, (VALUES ('rule'), ('notice')) t(k) WHERE n_regionkey IN (0, 1)")
@@ -231,3 +231,16 @@ def search(spark, d):
     topics = table(spark, d, "region").where(F.col("r_name").ilike("%a%")).select(F.lit(0).alias("o"), F.lit("topic").alias("kind"), F.col("r_name").alias("name"))
     dockets = table(spark, d, "nation").where(F.col("n_name").ilike("%a%")).select(F.lit(1).alias("o"), F.lit("docket").alias("kind"), F.col("n_name").alias("name"))
     return topics.union(dockets).orderBy("o", "name").limit(12).select("kind", "name")
+
+
+@query("T6_catalog_by_priority", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 50")
+def catalog_by_priority(spark, d):
+    """The 50 first of the catalog, by priority."""
+    rows = newest(requests(spark, d), 50, F.desc("o_totalprice"), "o_orderkey")
+    return rows.select("o_orderkey", F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("place"))
+
+
+@query("T6_newest_requests", "SELECT o_orderkey FROM orders WHERE o_custkey = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+def newest_requests(spark, d):
+    """A user's 20 latest requests."""
+    return newest(requests(spark, d).where("o_custkey = 1"), 20, F.desc("o_orderdate"), "o_orderkey").select("o_orderkey")

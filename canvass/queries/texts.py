@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from canvass.functions import scores
 from canvass.functions import text as X
 from canvass.functions.udfs import clean_html, ratio_bound, similarity_ratio
+from canvass.operators import joins
 from canvass.operators import evidence as V
 from canvass.queries.registry import COMMENTS, query
 from canvass.sources import mappers
@@ -88,7 +89,7 @@ def ratio(spark, d):
     """Pairs of items whose lengths allow a ratio of 0.85."""
     items = table(spark, d, "benchmark").select("item_id", X.normalize(F.col("text")).alias("t"))
     other = items.select(F.col("item_id").alias("other_id"), F.col("t").alias("u"))
-    near = items.join(F.broadcast(other), (F.col("item_id") < F.col("other_id")) & (ratio_bound("t", "u") >= 0.85))
+    near = items.join(joins.small_side(other, "u"), (F.col("item_id") < F.col("other_id")) & (ratio_bound("t", "u") >= 0.85))
     return near.withColumn("ratio", similarity_ratio("t", "u")).select("item_id", "other_id", F.round("ratio", 6).alias("ratio"))
 
 
@@ -123,21 +124,11 @@ def search_tokens(spark, d):
 
 
 @query("X19_token_overlap", r"""
-WITH q AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 2) AS t FROM benchmark WHERE item_id < 5),
-k AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 2)) AS w FROM documents),
-u AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM q)
-SELECT u.item_id, k.doc_id, round(count(*) / any_value(u.n), 6) AS overlap FROM u JOIN k USING (w) GROUP BY u.item_id, k.doc_id HAVING count(*) / any_value(u.n) >= 0.7""")
-def token_overlap(spark, d):
-    """The share for the first five items, as its SQL has it; the query of all items is the next one."""
-    return _overlaps(table(spark, d, "benchmark").where("item_id < 5"), table(spark, d, "documents"))
-
-
-@query("X19_token_overlap_all", r"""
 WITH q AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 2) AS t FROM benchmark),
 k AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 2)) AS w FROM documents),
 u AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM q)
 SELECT u.item_id, k.doc_id, round(count(*) / any_value(u.n), 6) AS overlap FROM u JOIN k USING (w) GROUP BY u.item_id, k.doc_id HAVING count(*) / any_value(u.n) >= 0.7""")
-def token_overlap_all(spark, d):
+def token_overlap(spark, d):
     """The share for every item and document."""
     return _overlaps(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
@@ -147,7 +138,7 @@ def _overlaps(items, docs):
     q = items.select("item_id", X.search_tokens(F.col("text")).alias("t"))
     q = q.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
     k = docs.select("doc_id", F.explode(F.array_distinct(X.search_tokens(F.col("text")))).alias("w"))
-    hits = k.join(F.broadcast(q), "w").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
+    hits = k.join(joins.small_side(q, "w"), "w").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
     return hits.where(F.col("hits") / F.col("n") >= 0.7).select("item_id", "doc_id", F.round(F.col("hits") / F.col("n"), 6).alias("overlap"))
 
 
@@ -181,7 +172,8 @@ SELECT b.item_id, count(*)::BIGINT AS n FROM benchmark b JOIN documents d
   ON contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\s+', ' ', 'g')))) GROUP BY b.item_id""")
 def phrase_probe(spark, d):
     phrases = table(spark, d, "benchmark").select("item_id", X.normalize(F.col("text")).alias("p"))
-    return comments(spark, d).join(F.broadcast(phrases), F.contains("normalized_text", F.col("p"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    texts = comments(spark, d).select(F.col("normalized_text").alias("t"))
+    return joins.containing(texts, phrases).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F2_substantive", "SELECT doc_id FROM documents WHERE n_chars >= 100 AND lang IN ('en', 'fr') AND source <> 'src3'")
