@@ -12,6 +12,9 @@ AGENCY_TOPICS = {
     "FCC": "tech-regulation", "FTC": "tech-regulation", "NHTSA": "tech-regulation", "EPA": "climate", "CMS": "health-care", "HHS": "health-care",
     "HHS-OCR": "health-care", "FDA": "health-care", "DEA": "health-care", "CFPB": "banking-and-lending", "DOL": "labor", "OSHA": "labor",
 }
+#: Words that are no search terms (fixed values), and the score from which the best row of a search is taken.
+QUERY_STOPWORDS = "and are for how into non our regulation regulations rule rules that the this want what with".split()
+ACCEPTED_SCORE = 10
 #: Patterns of a query that name an agency, in order (fixed values).
 AGENCY_HINTS = (
     ("FCC", r"\bfcc\b|internet|broadband|neutrality"), ("EPA", r"\bepa\b|climate|methane|emission|water|pollution"),
@@ -41,22 +44,41 @@ def topic_of_agency(agency: Column, docket: Column, manual: dict[str, str] | Non
     return out
 
 
+def plain_text(text: Column) -> Column:
+    """Lower case with every run of other characters than a to z and 0 to 9 as one space, trimmed; null is empty."""
+    return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def query_terms(query: Column) -> Column:
+    """Words of the plain query of over two letters that are not stopwords, in order, repeats included."""
+    return F.filter(F.split(plain_text(query), " "), lambda w: (F.length(w) > 2) & ~w.isin(*QUERY_STOPWORDS))
+
+
 def agency_hint(query: Column) -> Column:
-    low = F.lower(query)
+    """The agency that a query names, by the first pattern that its plain text has; null without one."""
+    low = plain_text(query)
     return F.coalesce(*[F.when(low.rlike(pattern), name) for name, pattern in AGENCY_HINTS])
 
 
 def expansions(query: Column) -> Column:
-    """The query itself and what its words add, each once."""
-    low, out = F.lower(query), [F.array(query)]
+    """The query itself, its terms as one search, and what its plain text adds, each once."""
+    low, out = plain_text(query), [F.array(F.coalesce(query, F.lit("")), F.array_join(query_terms(query), " "))]
     for pattern, more in EXPANSIONS:
         out.append(F.when(low.rlike(pattern), F.array(*map(F.lit, more))).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.filter(F.transform(F.concat(*out), X.strip), lambda q: q != ""))
 
 
+def accepted(score: Column) -> Column:
+    """Whether the best row of a search is good enough."""
+    return score >= ACCEPTED_SCORE
+
+
 def match_score(title: Column, tags: Column, summary: Column, docket: Column, comments: Column, agency: Column, query: Column, terms: Column, phrases: Column) -> Column:
-    """Score of a catalog row for a query: exact phrases, term hits, size, and the agency that the query names."""
-    t, g, s, k = (F.lower(F.coalesce(c, F.lit(""))) for c in (title, tags, summary, docket))
+    """Score of a catalog row for a query: exact phrases, term hits, size, and the agency that the query names.
+
+    Titles, tags, summaries and ids are compared as plain text; ``terms`` and ``phrases`` are taken to be plain already.
+    """
+    t, g, s, k = map(plain_text, (title, tags, summary, docket))
     hits = lambda c: F.size(F.filter(terms, lambda w: F.contains(c, w)))
     points = lambda c, n: n * F.size(F.filter(phrases, lambda p: (p != "") & F.contains(c, p)))
     enough = F.least(F.lit(2), F.size(terms))

@@ -70,11 +70,12 @@ def tags(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.filter(parsed, lambda x: x != ""), ",").alias("tags"))
 
 
-@query("A_json_props", "SELECT event_id, json_extract_string(props, '$.' || k) AS v FROM events, (SELECT json_keys(props)[1] AS k FROM events LIMIT 1)")
+@query("A_json_props", "SELECT event_id, json_keys(props)[1] AS k, json_extract_string(props, '$.' || json_keys(props)[1]) AS v FROM events")
 def json_props(spark, d):
-    e = table(spark, d, "events")
-    key = F.json_object_keys("props")[0]
-    return e.select("event_id", F.get_json_object("props", "$." + (e.select(key).first() or ["x"])[0]).alias("v"))
+    """The first key of each event's own properties, and its value."""
+    key = F.get(F.json_object_keys("props"), F.lit(0))
+    value = F.expr("get_json_object(props, concat('$.', get(json_object_keys(props), 0)))")
+    return table(spark, d, "events").select("event_id", key.alias("k"), value.alias("v"))
 
 
 @query("conversation_turns", "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS user_turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
