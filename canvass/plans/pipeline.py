@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from canvass import schemas
 from canvass.functions import ids
+from canvass.functions.embedding import Backend
+from canvass.functions.embedding import embed as embedded
 from canvass.operators import clusters as C
 from canvass.operators import evidence as V
 from canvass.operators import export as E
@@ -17,7 +19,7 @@ from canvass.sources import mappers
 from canvass.sources.shared import stored
 from canvass.sources.tables import Table, coerce, export
 
-STAGES = ("parse", "exact", "cluster", "attribute", "export")
+STAGES = ("parse", "embed", "exact", "cluster", "attribute", "migrate", "export")
 #: Sources of text that count as a comment's own words (fixed values).
 SUBSTANTIVE = ("detail_comment_text", "comment_text", "ecfs_text_data")
 EXACT_MODEL, EXACT_VERSION = "exact_hash", "v1_exact_hash"
@@ -31,11 +33,19 @@ class Settings:
     embedding_model: str = "model"
     clustering_version: str = "v1"
     threshold: float = 0.92
-    blocks: int = 8
+    #: Blocks of the similarity join; by the docket's size if not given.
+    blocks: int | None = None
     min_size: int = 2
     allow_mock: bool = False
     stages: tuple[str, ...] = STAGES
     registry: DataFrame | None = None
+    #: What embeds texts; without one vectors are brought.
+    backend: Backend | None = None
+    #: Join only each vector's nearest neighbours (this many) instead of all similar pairs.
+    neighbours: int | None = None
+    #: Sections ``ord, section, body`` of the final rule, and its id.
+    rules: DataFrame | None = None
+    rule_document_id: str = ""
     done: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -60,6 +70,20 @@ def parse(spark: SparkSession, s: Settings) -> int:
     return counts["inserted"] + counts["updated"]
 
 
+def embed(spark: SparkSession, s: Settings) -> int:
+    """Vectors of parsed comments that have none of their text by this model yet."""
+    parsed = Table.named(spark, s.root, "parsed_comments").read().where((F.col("docket_id") == s.docket_id) & F.col("normalized_text_hash").isNotNull())
+    target = Table.named(spark, s.root, "comment_embeddings")
+    known = target.read().where(F.col("embedding_model") == s.backend.model_name).select("comment_id", F.struct(F.col("text_hash").alias("hash")).alias("old"))
+    fresh = parsed.join(known, "comment_id", "left").where(F.col("old").isNull() | (F.col("old.hash") != F.col("normalized_text_hash")))
+    rows = fresh.withColumns({
+        "embedding_model": F.lit(s.backend.model_name), "backend": F.lit(s.backend.backend_name), "embedding_dim": F.lit(s.backend.dimension).cast("long"),
+        "text_hash": F.col("normalized_text_hash"), "embedding_vector": embedded(s.backend)("normalized_text"), "embedded_at": s.now(),
+    }).where("embedding_vector is not null")
+    counts = target.merge(stored(coerce(rows, schemas.schema("comment_embeddings")), "embedded"))
+    return counts["inserted"] + counts["updated"]
+
+
 def _scope(s: Settings, model: str, version: str, threshold: float) -> Column:
     return (
         (F.col("docket_id") == s.docket_id) & (F.col("embedding_model") == model) & (F.col("clustering_version") == version)
@@ -99,7 +123,10 @@ def cluster(spark: SparkSession, s: Settings) -> int:
     if rows.select("backend").distinct().limit(2).count() > 1:
         raise ValueError("vectors of more than one backend in a scope")
     rows = stored(N.normalized(rows.select("comment_id", "docket_id", "text_hash", "text_source", F.col("embedding_vector").cast("array<double>").alias("v"))), "unit")
-    parts = C.components_of(stored(N.similar_pairs(rows, s.threshold, s.blocks), "pairs"), s.min_size)
+    pairs = N.similar_pairs(rows, s.threshold, s.blocks)
+    if s.neighbours:
+        pairs = N.neighbour_edges(N.nearest(pairs, s.neighbours, s.threshold))
+    parts = C.components_of(stored(pairs, "pairs"), s.min_size)
     placed = stored(C.medoids(parts.join(rows.select("comment_id", "v"), "comment_id")), "medoids")
     ranked = C.ranked(placed)
     stats = C.statistics(ranked)
@@ -127,6 +154,16 @@ def attribute(spark: SparkSession, s: Settings) -> int:
     return rows.count()
 
 
+def migrate(spark: SparkSession, s: Settings) -> int:
+    """Phrases of each cluster that the final rule has; the docket's old rows always go."""
+    matches = V.rule_matches(_texts(spark, s), s.rules)
+    rows = V.migrations(matches, s.rule_document_id).withColumnRenamed("section", "final_rule_section")
+    rows = rows.withColumns({"docket_id": F.lit(s.docket_id), "final_rule_document_id": F.lit(s.rule_document_id), "created_at": s.now()})
+    rows = stored(coerce(rows, schemas.schema("rule_migrations")), "migrations")
+    Table.named(spark, s.root, "rule_migrations").replace_scope(rows, F.col("docket_id") == s.docket_id)
+    return rows.count()
+
+
 def review_export(spark: SparkSession, s: Settings) -> int:
     """The denormalised review table of the docket."""
     read = lambda name: Table.named(spark, s.root, name).read().where(F.col("docket_id") == s.docket_id)
@@ -138,12 +175,14 @@ def review_export(spark: SparkSession, s: Settings) -> int:
     return rows.count()
 
 
-RUN = {"parse": parse, "exact": exact, "cluster": cluster, "attribute": attribute, "export": review_export}
+RUN = {"parse": parse, "embed": embed, "exact": exact, "cluster": cluster, "attribute": attribute, "migrate": migrate, "export": review_export}
 
 
 def run(spark: SparkSession, s: Settings) -> dict[str, int]:
-    """The stages that ``s`` names, in order; rows each one wrote."""
+    """The stages that ``s`` names, in order; rows each one wrote. Without a backend nothing embeds, without rules nothing migrates."""
+    idle = {"embed"} if s.backend is None else set()
+    idle |= {"migrate"} if s.rules is None else set()
     for name in STAGES:
-        if name in s.stages:
+        if name in s.stages and name not in idle:
             s.done[name] = RUN[name](spark, s)
     return s.done

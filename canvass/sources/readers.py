@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,38 @@ def docket_registry(spark: SparkSession, entries: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(str(e[k]) for k in DOCKET_REQUIRED) for e in entries], ", ".join(f"{k} string" for k in DOCKET_REQUIRED))
 
 
+def docket_list(text: str) -> list[dict]:
+    """Entries of a docket list in the small part of YAML that such lists use: ``- key: value`` blocks, one nested ``date_window``.
+
+    Quotes are dropped, ``null`` and nothing are null, whole numbers are numbers; comments and other lines are left out.
+    """
+    entries: list[dict] = []
+    window = False
+    for line in map(str.strip, text.splitlines()):
+        if line.startswith("- "):
+            entries.append({})
+            line, window = line[2:].strip(), False
+        key, colon, value = line.partition(":")
+        if line.startswith("#") or not colon or not entries:
+            continue
+        key, value = key.strip(), value.strip().strip("\"'")
+        found = None if value.lower() in ("", "null") else int(value) if re.fullmatch(r"[+-]?\d+", value) else value
+        if key == "date_window":
+            entries[-1][key], window = {}, True
+        elif window and key in ("start_date", "end_date"):
+            entries[-1]["date_window"][key] = found
+        else:
+            entries[-1][key] = found
+    return entries
+
+
+def docket_file(spark: SparkSession, path: str) -> DataFrame:
+    """The configured dockets of a list on disk, checked, with the dates of their window."""
+    entries = docket_list(spark.read.text(path, wholetext=True).first()[0])
+    dates = [(str(e.get("docket_id")), *((e.get("date_window") or {}).get(c) for c in ("start_date", "end_date"))) for e in entries]
+    return docket_registry(spark, entries).join(spark.createDataFrame(dates, "docket_id string, start_date string, end_date string"), "docket_id")
+
+
 def downloads_checked(spark: SparkSession, files: DataFrame, path: str) -> DataFrame:
     """Downloaded attachments in a folder against their rows: checksum and size, and whether they are there."""
     found = spark.read.format("binaryFile").load(path).select(
