@@ -13,6 +13,14 @@ BOILERPLATE_NAMES = (
     "comment comments commentlist disqus replies reply respond discussion footer foot header masthead topbar toolbar search form "
     "copyright legal disclaimer contentinfo complementary skip hidden tags meta"
 ).split()
+#: Names of places and kinds of boxes, which beside a name of boilerplate change nothing about it (fixed list).
+PLACE_NAMES = (
+    "top bottom left right upper lower center main primary secondary first last global site page web box boxes block blocks bar list item items "
+    "area section wrapper wrap container inner outer content text body row col column columns panel unit slot zone holder group link links "
+    "nav title heading label button buttons icon icons post article entry user reader"
+).split()
+#: Names of states: beside one of these a name of boilerplate says what a page has, not what an element is (fixed list).
+STATE_NAMES = "has no with without is not open opened closed free show hide visible enabled disabled".split()
 #: Names that pages give to the element with the main text (fixed list).
 CONTENT_NAMES = "content article post entry story main body text maincontent articlebody".split()
 
@@ -52,6 +60,17 @@ def _inside(name: str) -> str:
     return f"<div class='{name}' data-label='other'><p>{_words(10)}</p><a href=/>{_words(2)}</a><span>{_words(4)}</span></div>"
 
 
+def _layouts(body: str) -> list[str]:
+    """Pages of other kinds around one body: old tables, nested wrappers, sections, and names on html and body."""
+    menu = "".join(f"<a href=/>{_words(2)}</a> | " for _ in range(5))
+    return [
+        f"<html class='has-menu'><body class='no-sidebar single-post'>{menu}{body}<p class='copyright'>{_words(9)}</p></body></html>",
+        f"<body><table><tr><td>{menu}</td></tr><tr><td>{body}</td><td class='sidebar'><p>{_words(20)}</p></td></tr><tr><td class='footer'>{_words(9)}</td></tr></table></body>",
+        f"<body><div id='page'><div id='wrapper'><div class='topbar'>{menu}</div><div class='row'>{body}</div><div class='widget'><h3>{_words(2)}</h3><p>{_words(15)}</p></div></div></div></body>",
+        f"<body><div class='navbar'>{menu}</div><section>{body}</section><section class='related'><p>{_words(25)}</p></section><div class='newsletter'>{_words(12)}</div></body>",
+    ]
+
+
 LABELLED_PAGES = (
     *(_around(f"<{tag}><div data-label='main'><h1>{_words(6)}</h1>{_prose()}</div></{tag}>") for tag in ("article", "main")),
     *(_around(f"<div class='{name}' data-label='main'><h1>{_words(6)}</h1>{_prose(3)}</div>") for name in CONTENT_NAMES),
@@ -59,4 +78,6 @@ LABELLED_PAGES = (
     *(_around(f"<p>{_words(9)}</p><div><p>{_words(30)}</p></div><article data-label='main'><h1>{_words(6)}</h1>{_prose(1)}</article><p>{_words(9)}</p>") for _ in range(3)),
     # articles that are teasers or comments, beside a body in a div
     *(_around(f"<div class='{body}' data-label='main'><h1>{_words(6)}</h1>{_prose()}</div>{_teasers(name)}") for body in CONTENT_NAMES for name in ("teaser", "comments", "related")),
+    # other layouts
+    *(page for name in ("article", "div class='content'", "div", "section") for page in _layouts(f"<{name} data-label='main'><h1>{_words(6)}</h1>{_prose(3)}</{name.split()[0]}>")),
 )

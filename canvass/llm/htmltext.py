@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import small_batches, table
-from canvass.llm.htmlpages import BOILERPLATE_NAMES, LABELLED_PAGES
+from canvass.llm.common import freeing, small_batches, table
+from canvass.llm.htmlpages import BOILERPLATE_NAMES, LABELLED_PAGES, PLACE_NAMES, STATE_NAMES
 
 #: Elements whose content is never text (fixed by HTML).
-RAW = "script style noscript template iframe svg textarea object canvas math audio video"
-#: Raw elements that run to the end of the page where unclosed, and those that may close themselves (fixed by HTML).
+RAW = "script style template iframe svg textarea"
+#: Raw elements that run to the end of the page where unclosed, and elements that may close themselves (fixed by HTML).
 RUNS_ON, SELF_CLOSED = frozenset(("script", "style", "textarea")), frozenset(("svg", "math"))
 #: Elements that begin and end a block of text (fixed by HTML).
 BLOCKS = frozenset(
@@ -37,10 +37,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An element's end is left out where one of these opens (fixed by HTML).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MAIN = frozenset(("article", "main"))
+#: Elements that are boilerplate by what they are, and those whose names say something of the whole page.
+BESIDES, WHOLE = frozenset(("nav", "aside", "footer", "header", "form")), frozenset(("html", "body"))
 BESIDE = "beside-main"
-#: Share of the page's words outside named boilerplate from which an element of MAIN is the page's.
+#: Share of the page's words outside boilerplate from which an element of MAIN is the page's, and doubtful names don't count.
 MAIN_SHARE = 0.5
-_BOILERPLATE = frozenset("." + x for x in BOILERPLATE_NAMES) | {"nav", "aside", "footer", "header", "form"}
+_BOILERPLATE, _PLACES, _STATES = frozenset(BOILERPLATE_NAMES), frozenset(PLACE_NAMES), frozenset(STATE_NAMES)
 
 #: Log-odds below which a feature makes its words boilerplate (one word in twenty is main text), and what such a word scores.
 VETO, BOILERPLATE = -3.0, -0.25
@@ -51,7 +53,8 @@ _TOKENS = re.compile(
 )
 _RAW_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW.split()}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_NAMES = re.compile(r"[a-z]+")
+_HAS_MAIN = re.compile(r"<(?:article|main)[\s/>]", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
@@ -60,48 +63,78 @@ class Piece:
 
     text: str | None
     tag: str
-    features: frozenset[str]
+    node: int
     label: str | None
     breaks: bool = False
-    #: Number of the innermost element of MAIN around it, 0 without one.
-    main: int = 0
+    closes: bool = False
+    features: frozenset[str] = frozenset()
 
 
-def pieces(html: str) -> list[Piece]:
-    """The page as a row of tags and texts; features are open elements and names in their class, id and role.
+@dataclass
+class Node:
+    """An open element: the one around it, its tag and names, and the words in it outside boilerplate.
+
+    ``named`` is 2 if a name says that this is boilerplate, 1 if one may say so, else 0; ``out`` is whether it lies in boilerplate.
+    """
+
+    parent: int
+    tag: str
+    names: frozenset[str] = frozenset()
+    named: int = 0
+    out: bool = False
+    words: int = 0
+
+
+def names_of(values: Iterable[str]) -> tuple[frozenset[str], int]:
+    """The parts of all names in class, id and role, and how much they say of boilerplate.
+
+    ``comments`` or ``footer-links`` say that an element is boilerplate: besides a name of boilerplate there are
+    only places. ``blog-search`` may say so; ``has-sidebar`` or ``menu-open`` say something else and are left out.
+    """
+    found, named = set(), 0
+    for token in " ".join(values).split():
+        parts = {x.lower() for x in _PARTS.findall(token)}
+        if parts & _STATES:
+            continue
+        found |= parts
+        if parts & _BOILERPLATE:
+            named = max(named, 2 if parts <= _BOILERPLATE | _PLACES else 1)
+    return frozenset("." + x for x in found), named
+
+
+def pieces(html: str, lenient: bool = False) -> list[Piece]:
+    """The page as a row of tags and texts; features are the open elements and names in their class, id and role.
 
-    What encloses the page's own article or main says nothing about it; words beside it are marked. One
-    is the page's own if its names aren't of boilerplate and it holds much of the page's words, so that
-    teasers and comments in articles are like any other element.
+    What encloses the page's own article or main says nothing about it, nor do its names; words beside it are marked. One
+    is the page's own if it holds much of the page's words, so that teasers and comments in articles are like any other
+    element. Names of html and body don't count, and doubtful names (with ``lenient`` all) not where an element holds much
+    of the words.
     """
-    outer = [(0, frozenset(), True)]
-    row = list(_parsed(html, outer))
-    held = [0] * len(outer)
+    nodes = [Node(0, "")]
+    row = list(_parsed(html, nodes, lenient))
     for piece in row:
-        if piece.text is not None and not piece.features & _BOILERPLATE:
-            held[piece.main] += len(piece.text.split())
-    total = sum(held)
-    for k in range(len(outer) - 1, 0, -1):
-        held[outer[k][0]] += held[k]
-    own = {k for k in range(1, len(outer)) if held[k] and held[k] >= MAIN_SHARE * total and not outer[k][2]}
-    around, inside = [frozenset()], [False]
-    for k, (parent, features, _) in enumerate(outer[1:], 1):
-        around.append(frozenset() if k in own else features | around[parent])
-        inside.append(k in own or inside[parent])
+        if piece.text is not None and not nodes[piece.node].out:
+            nodes[piece.node].words += len(piece.text.split())
+    for node in reversed(nodes[1:]):
+        nodes[node.parent].words += node.words
+    much = max(1, MAIN_SHARE * nodes[0].words)
+    features, inside, own = [frozenset()], [False], False
+    for node in nodes[1:]:
+        main = node.tag in MAIN and node.words >= much
+        names = node.names if node.tag not in WHOLE and not main and (node.words < much or node.named == (0 if lenient else 2) or not node.named) else frozenset()
+        features.append(frozenset((node.tag,)) if main else features[node.parent] | names | {node.tag})
+        inside.append(main or inside[node.parent])
+        own |= main
     for piece in row:
-        piece.features |= around[piece.main]
-        if own and piece.text is not None and not inside[piece.main]:
+        piece.features = features[piece.node]
+        if own and piece.text is not None and not inside[piece.node]:
             piece.features |= {BESIDE}
     return row
 
 
-def _parsed(html: str, outer: list[tuple[int, frozenset[str], bool]]) -> Iterator[Piece]:
-    """The pieces with features from the innermost element of MAIN inwards.
-
-    For each such element, ``outer`` gets the number of the one around it, the features between the
-    two, and whether its own names are of boilerplate.
-    """
-    stack: list[tuple[str, frozenset[str], str | None, int]] = [("", frozenset(), None, 0)]
+def _parsed(html: str, nodes: list[Node], lenient: bool) -> Iterator[Piece]:
+    """The pieces, with the number of the element they are in; ``nodes`` gets the elements."""
+    stack: list[tuple[str, int, str | None]] = [("", 0, None)]
     at, unclosed = 0, set()
     while m := _TOKENS.match(html, at):
         at = m.end()
@@ -120,10 +153,12 @@ def _parsed(html: str, outer: list[tuple[int, frozenset[str], bool]]) -> Iterato
         if name is None:
             whole = m.group()
             if whole == "<" or whole[0] != "<":
-                _, features, label, main = stack[-1]
-                yield Piece(whole, "", features, label, main=main)
+                _, node, label = stack[-1]
+                yield Piece(whole, "", node, label)
             continue
         name = name.lower()
+        if name in SELF_CLOSED and attributes.endswith("/"):
+            continue
         if closing:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
             if depth:
@@ -133,17 +168,36 @@ def _parsed(html: str, outer: list[tuple[int, frozenset[str], bool]]) -> Iterato
             ends |= CLOSES.get(name, set())
             while stack[-1][0] in ends:
                 stack.pop()
-            _, features, label, main = stack[-1]
-            own, names = {name}, {}
+            _, parent, label = stack[-1]
+            node = Node(parent, name, out=nodes[parent].out or name in BESIDES)
             if "=" in attributes:
-                names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-                for k in ("class", "id", "role"):
-                    own.update("." + x for x in _NAMES.findall(names.get(k, "").lower()))
-            if name in MAIN:
-                outer.append((main, features, not _BOILERPLATE.isdisjoint(own)))
-                features, main = frozenset(), len(outer) - 1
-            stack.append((name, features | own, names.get("data-label", label), main))
-        yield Piece(None, name, stack[-1][1], None, name in BLOCKS, stack[-1][3])
+                given = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+                label = given.get("data-label", label)
+                node.names, node.named = names_of(given.get(k, "") for k in ("class", "id", "role"))
+                node.out |= node.named == 2 and not lenient and name not in MAIN | WHOLE
+            nodes.append(node)
+            stack.append((name, len(nodes) - 1, label))
+        yield Piece(None, name, stack[-1][1], None, name in BLOCKS, bool(closing))
+
+
+def scored_tags(row: list[Piece]) -> list[bool]:
+    """Which pieces are tags that count: empty elements don't, and of void ones that follow each other only the first."""
+    counts = [p.text is None for p in row]
+    opened: list[int] = []
+    void = False
+    for i, p in enumerate(row):
+        if p.text is not None:
+            if not p.text.isspace():
+                opened, void = [], False
+        elif p.tag in VOID:
+            counts[i], void = not void, True
+        elif not p.closes:
+            opened.append(i)
+        elif opened and row[opened[-1]].tag == p.tag:
+            counts[opened.pop()] = counts[i] = False
+        else:
+            opened = []
+    return counts
 
 
 @dataclass
@@ -191,23 +245,38 @@ def learn(labelled: tuple[str, ...] = LABELLED_PAGES) -> Weights:
     )
 
 
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The contiguous region with the highest sum (the first of equal ones, empty if none is above 0), in one scan."""
+    best = run = 0.0
+    start = first = last = 0
+    for i, score in enumerate(scores):
+        run += score
+        if run <= 0:
+            run, start = 0.0, i + 1
+        elif run > best:
+            best, first, last = run, start, i + 1
+    return first, last
+
+
 def main_text(html: str | None, weights: Weights) -> str:
     """Blocks of the best region, one to a line; white space inside a block is one space."""
-    row = pieces(html or "")
+    found = _best_text(pieces(html or ""), weights)
+    if not found and html and not _HAS_MAIN.search(html):
+        found = _best_text(pieces(html, lenient=True), weights)  # names said of all words that they are boilerplate
+    return found
+
+
+def _best_text(row: list[Piece], weights: Weights) -> str:
     known: dict[frozenset[str], float] = {}
-    best = run = 0.0
-    start = first = last = 0
-    for i, piece in enumerate(row):
+    scores = []
+    for piece, counts in zip(row, scored_tags(row)):
         if piece.text is None:
-            run += weights.of_tag(piece.tag)
+            scores.append(weights.of_tag(piece.tag) if counts else 0.0)
         else:
             if piece.features not in known:
                 known[piece.features] = weights.of_word(piece.features)
-            run += known[piece.features] * len(piece.text.split())
-        if run <= 0:
-            run, start = 0.0, i + 1
-        elif run > best:
-            best, first, last = run, start, i + 1
+            scores.append(known[piece.features] * len(piece.text.split()))
+    first, last = best_region(scores)
     blocks, block = [], []
     for piece in row[first:last]:
         if piece.breaks:
@@ -226,7 +295,8 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """``page_id, url, text`` of every row, from the whole page.
 
     Null and empty pages, and those without words, give an empty text; plain text without tags is all
-    main text. Elements may be unclosed or closed out of order. Repeated rows and nulls in other
+    main text. Of regions with one score the first is taken; pages of any length are read whole; an empty table gives an
+    empty one. Elements may be unclosed or closed out of order. Repeated rows and nulls in other
     columns keep their rows; further columns of ``pages`` are not read.
     """
     weights = weights or learn()
@@ -237,7 +307,7 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
             yield x.assign(text=[main_text(h, weights) for h in x.pop("html")])
 
     schema = pages.select("page_id", "url", F.lit("").alias("text")).schema
-    return pages.select("page_id", "url", "html").mapInPandas(run, schema)
+    return pages.select("page_id", "url", "html").mapInPandas(freeing(run), schema)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
