@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import small_batches, table
+from canvass.llm.common import freeing, small_batches, table
+from canvass.llm.licence_texts import NOTICES, TEXTS
 
 THRESHOLD = 0.8
 WORD = r"[A-Za-z0-9]+(?:[.+-][A-Za-z0-9]+)*"
@@ -53,31 +54,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
-_BSD = (
-    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-    "{}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-    "{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-    "documentation and/or other materials provided with the distribution. "
-)
-_BSD_THIRD = (
-    "{}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
-    "software without specific prior written permission. "
-)
-_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
-_NAMES = (
-    ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache License, Version 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"),
-    ("BSD-3-Clause", "BSD 3-Clause License"), ("CC0-1.0", "CC0 1.0 Universal License"), ("GPL-2.0", "GNU General Public License v2.0"),
-    ("GPL-3.0", "GNU General Public License v3.0"), ("LGPL-3.0", "GNU Lesser General Public License v3.0"), ("MIT", "MIT License"),
-    ("MPL-2.0", "Mozilla Public License 2.0"), ("MPL-2.0", "Mozilla Public License, version 2.0"),
-)
-#: Further wordings of the same licences (fixed values), which the SQL below doesn't have: notices by name and the conditions of BSD.
-VARIANTS: tuple[tuple[str, str], ...] = (
-    *((name, f"{verb} under the {text}") for name, text in _NAMES for verb in ("Licensed", "Released", "Distributed", "Available")),
-    ("BSD-2-Clause", _BSD.format("", "") + _BSD_END),
-    ("BSD-2-Clause", _BSD.format("1. ", "2. ") + _BSD_END),
-    ("BSD-3-Clause", _BSD.format("", "") + _BSD_THIRD.format("") + _BSD_END),
-    ("BSD-3-Clause", _BSD.format("1. ", "2. ") + _BSD_THIRD.format("3. ") + _BSD_END),
-)
+#: Whole licences and further notices, which the SQL below doesn't have.
+VARIANTS: tuple[tuple[str, str], ...] = TEXTS + NOTICES
 
 
 class Scanner:
@@ -162,8 +140,9 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + V
     """``doc_id, license, dice, n_lines`` of every row: the best template over its lines, paragraphs, whole text and windows.
 
     ``license`` and ``dice`` are null where nothing reaches the threshold; ``n_lines`` counts the whole
-    lines that do. Ties go to the first licence by name. Null, empty and blank texts have none. Repeated
-    rows and null ids keep their rows; other columns of ``docs`` are not read.
+    lines that do. Ties go to the first licence by name. Null, empty and blank texts have none; texts of any length are
+    read whole. Repeated rows and null ids keep their rows; other columns of ``docs`` are not read; an empty table gives an
+    empty one.
     """
     small_batches(docs.sparkSession)
 
@@ -177,7 +156,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + V
     schema = docs.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_lines")).schema
     for f in schema:
         f.nullable = True
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInPandas(freeing(run), schema)
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
