@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 
 from canvass.llm.common import ascii_lower, stored, table
 
-#: Bound of the labelled URLs that the trees are fitted on (chosen by a hash of the URL).
+#: Bound of the labelled URLs that the trees are fitted on (chosen by a hash of the URL); their hosts have at
+#: most twice as many suffixes, which are kept as hashes of 8 bytes, so the table of suffixes is below 1 MB.
 MAX_LABELLED = 20_000
-#: Bound of the host suffixes whose statistics are kept (the most frequent of the sample).
-MAX_SUFFIXES = 1_000
 ROUNDS, DEPTH, BINS, RATE, SMOOTHING = 8, 3, 16, 0.4, 1.0
 #: Weight of the mean in a suffix's statistics, in labelled URLs.
 PRIOR = 20.0
@@ -70,7 +69,7 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """Adds the array ``x`` of lexical features and ``suffix1``, ``suffix2`` (last labels of the host)."""
+    """Adds the array ``__x`` of lexical features and ``__suffix1``, ``__suffix2`` (hashes of the host's last labels)."""
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
     size = F.greatest(F.length(url), F.lit(1)).cast("double")
     letters = F.array_distinct(F.split(url, ""))
@@ -82,8 +81,8 @@ def lexical(urls: DataFrame) -> DataFrame:
         _count(url, "="), _count(host, "-"), _count(path, "[^0-9A-Za-z/]"), _count(url, "#"),
         F.length(F.regexp_extract(path, r"([0-9]*)[^0-9]*$", 1)), F.length(F.element_at(F.split(path, "/"), -1)),
     ]
-    return urls.withColumn("x", F.array(*[f.cast("double") for f in features])).withColumns({
-        "suffix1": F.substring_index("host", ".", -1), "suffix2": F.substring_index("host", ".", -2)
+    return urls.withColumn("__x", F.array(*[f.cast("double") for f in features])).withColumns({
+        "__suffix1": F.xxhash64(F.substring_index("host", ".", -1)), "__suffix2": F.xxhash64(F.substring_index("host", ".", -2))
     })
 
 
@@ -96,7 +95,7 @@ class BoostedTrees:
     suffixes: DataFrame | None = None
     mean: float = 0.5
 
-    def margin(self, x: str = "x") -> Column:
+    def margin(self, x: str = "__x") -> Column:
         out = F.lit(self.base)
         for splits, leaves in self.trees:
             out = out + _walk(splits, 1, x, lambda node, leaves=leaves: F.lit(leaves[node]))
@@ -112,12 +111,13 @@ def _walk(splits: dict[int, tuple[int, float]], node: int, x: str, leaf) -> Colu
 
 
 def _with_suffixes(rows: DataFrame, suffixes: DataFrame, mean: float) -> DataFrame:
-    """Appends the suffix statistics to ``x``; the table of suffixes has ``MAX_SUFFIXES`` rows at most."""
-    for name in ("suffix1", "suffix2"):
-        own = F.broadcast(suffixes.select(F.col("suffix").alias(name), F.col("rate").alias(f"{name}_rate"), F.col("n").alias(f"{name}_n")))
-        rows = rows.join(own, name, "left")
-    more = [F.coalesce(F.col(f"{s}_{k}"), F.lit(v)) for s in ("suffix1", "suffix2") for k, v in (("rate", mean), ("n", 0.0))]
-    return rows.withColumn("x", F.concat("x", F.array(*more))).drop("suffix1_rate", "suffix2_rate", "suffix1_n", "suffix2_n")
+    """Appends the suffix statistics to ``__x``; the table of suffixes is bounded by the sample."""
+    more = []
+    for name in ("__suffix1", "__suffix2"):
+        own = suffixes.select(F.col("suffix").alias(name), F.col("rate").alias(f"{name}_rate"), F.col("n").alias(f"{name}_n"))
+        rows = rows.join(F.broadcast(own), name, "left")
+        more += [F.coalesce(F.col(f"{name}_rate"), F.lit(mean)), F.coalesce(F.col(f"{name}_n"), F.lit(0.0))]
+    return rows.withColumn("__x", F.concat("__x", F.array(*more))).drop(*[f"__suffix{i}_{k}" for i in (1, 2) for k in ("rate", "n")])
 
 
 def fit(labelled: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH) -> BoostedTrees:
@@ -138,17 +138,16 @@ def fit(labelled: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH) -> Booste
     if not total:
         return BoostedTrees(base=-1.0)
     mean = bad / total
-    each = kept.select(F.explode(F.array_distinct(F.array("suffix1", "suffix2"))).alias("suffix"), "weight", "blocked")
+    each = kept.select(F.explode(F.array_distinct(F.array("__suffix1", "__suffix2"))).alias("suffix"), "weight", "blocked")
     suffixes = each.groupBy("suffix").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("blocked")).alias("bad"))
-    suffixes = suffixes.orderBy(F.desc("n"), "suffix").limit(MAX_SUFFIXES)
     suffixes = stored(suffixes.select("suffix", "n", ((F.col("bad") + PRIOR * mean) / (F.col("n") + PRIOR)).alias("rate")), "suffixes")
     model = BoostedTrees(math.log(max(mean, 1e-3) / max(1 - mean, 1e-3)), [], suffixes, mean)
     rows = _with_suffixes(kept, suffixes, mean)
-    width = len(rows.select("x").first()["x"])
+    width = len(rows.select("__x").first()["__x"])
     steps = [i / BINS for i in range(1, BINS)]
-    cuts = rows.select(*[F.percentile_approx(F.col("x")[i], steps, 1000) for i in range(width)]).first()
+    cuts = rows.select(*[F.percentile_approx(F.col("__x")[i], steps, 1000) for i in range(width)]).first()
     cuts = [sorted(set(c)) for c in cuts]
-    bins = F.array(*[_bin(F.col("x")[i], c) for i, c in enumerate(cuts)])
+    bins = F.array(*[_bin(F.col("__x")[i], c) for i, c in enumerate(cuts)])
     rows = rows.select(bins.alias("bins"), "weight", "blocked").groupBy("bins").agg(
         F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("blocked")).alias("bad")
     )
@@ -215,11 +214,11 @@ def parse(urls: DataFrame) -> DataFrame:
 
 
 def judge(urls: DataFrame, rules: tuple[Rule, ...], model: BoostedTrees) -> DataFrame:
-    """``host, path, rule, verdict, block_score`` after the columns of ``urls`` that it needs (all others too).
+    """``host, path, rule, verdict, block_score`` after the columns of ``urls``.
 
-    A null URL or one without ``://`` has an empty host and path. The longest fitting rule decides; where
-    none fits, the trees block at a probability over one half. Repeated rows keep their rows. A
-    column of ``urls`` with one of the names above is replaced.
+    A null URL or one without ``://`` has an empty host and path; URLs of any length are read whole. The longest
+    fitting rule decides; where none fits, the trees block at a probability over one half (not at a half). Repeated
+    rows keep their rows; an empty table gives an empty one. A column of ``urls`` with one of the names above is replaced.
     """
     rows = lexical(parse(urls))
     if model.suffixes is not None:
@@ -227,7 +226,7 @@ def judge(urls: DataFrame, rules: tuple[Rule, ...], model: BoostedTrees) -> Data
     own = F.when(F.col("block_score") > 0.5, "block").otherwise("allow")
     rows = rows.withColumn("block_score", 1 / (1 + F.exp(-model.margin()))).withColumn("rule", matching(rules, lambda r: r.text))
     rows = rows.withColumn("verdict", F.coalesce(matching(rules, lambda r: r.action), own))
-    return rows.drop("x", "suffix1", "suffix2")
+    return rows.drop("__x", "__suffix1", "__suffix2")
 
 
 def labelled_by(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
