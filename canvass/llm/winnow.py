@@ -7,6 +7,8 @@ and kept with its position. Two texts that share K + W - 1 words in a row share
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W_
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ K, W = 5, 6
 #: A prime below 2^31, so that products stay within 64 bits, and the base of the polynomial.
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 _POSITION = (1 << 31) - 1
-#: Documents to a range of ids, and the most ranges.
-RANGE_ROWS, MAX_RANGES = 125, 2048
+#: Documents to a range of ids while there are few ranges, and at most when there are more.
+RANGE_ROWS, FEW_RANGES, FULL_RANGE = 125, 2048, 20_000
 
 
 def _indexed(size: Column, at) -> Column:
@@ -79,14 +81,42 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union > 0, both / union).otherwise(1.0)
 
 
-def _ranges(docs: DataFrame) -> list[int]:
-    """Bounds that cut the ids into ranges of similar numbers of rows."""
-    n = docs.where("doc_id is not null").count()
-    parts = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    if parts == 1:
-        return []
-    steps = [i / parts for i in range(1, parts)]
-    return sorted(set(docs.select(F.percentile_approx("doc_id", steps, 20 * parts)).first()[0]))
+def _ranges(keys: DataFrame) -> list[list[int]]:
+    """Bounds that cut column ``k`` into ranges of similar numbers of rows, in two levels: the first list has the
+    bounds of the coarse ranges, and the others those inside each.
+    """
+    n = keys.count()
+    parts = max(min(FEW_RANGES, n // RANGE_ROWS), -(-n // FULL_RANGE))
+    if parts <= 1:
+        return [[], []]
+    wide = max(1, round(parts**0.5))
+    cut = lambda m: F.percentile_approx("k", [i / m for i in range(1, m)], 50 * m)
+    coarse = sorted(set(keys.select(cut(wide)).first()[0])) if wide > 1 else []
+    fine: list[list[int]] = [[] for _ in range(len(coarse) + 1)]
+    m = -(-parts // len(fine))
+    if m > 1:
+        for r in keys.groupBy(_place(coarse, F.col("k")).alias("c")).agg(cut(m).alias("b")).collect():
+            fine[r["c"]] = sorted({b for b in r["b"] if r["c"] == len(coarse) or b < coarse[r["c"]]})
+    return [coarse, *fine]
+
+
+def _constant(values: list, kind: str) -> Column:
+    """One literal, however many values it has: the parser's result is folded into the plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _place(bounds: list[int], k: Column) -> Column:
+    """How many bounds lie below ``k``."""
+    return F.size(F.filter(_constant(bounds, "array<bigint>"), lambda b: b < k))
+
+
+def _range_of(levels: list[list[int]], k: Column) -> Column:
+    """The number of the range of ``k``, from 0: of the coarse range's first and its place inside."""
+    coarse, *fine = levels
+    first = [sum(len(f) + 1 for f in fine[:i]) for i in range(len(fine))]
+    at = _place(coarse, k) + 1
+    inside = F.element_at(_constant(fine, "array<array<bigint>>"), at)
+    return F.element_at(_constant(first, "array<bigint>"), at).cast("int") + F.size(F.filter(inside, lambda b: b < k))
 
 
 def with_next(docs: DataFrame, prepare=lambda rows: rows, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -95,26 +125,29 @@ def with_next(docs: DataFrame, prepare=lambda rows: rows, carry: tuple[str, ...]
     The ids are cut into ranges; in each, the head of the next range stands at the end for a while,
     so a window over ranges sees every neighbour, and each text is shuffled once. ``prepare`` adds
     columns after that shuffle, and those named in ``carry`` come as ``next_...`` too. Equal ids are ordered by text;
-    null ids come last, by text.
+    null ids come last, by descending hash of the text, then by text.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = F.array(*[F.lit(b).cast("long") for b in _ranges(docs)]).cast("array<bigint>")
-    where = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))))
-    placed = docs.withColumn("range", where)
-    heads = {r["range"]: r["head"] for r in placed.select("range", "doc_id").groupBy("range").agg(F.max("doc_id").alias("head")).collect()}
-    order = sorted(heads, reverse=True)  # -1, the null ids, comes last
-    after = [(order[(i + 1) % len(order)], r) for i, r in enumerate(order)]
-    named = [(heads[head], r) for head, r in after if head >= 0]
-    guests = docs.join(F.broadcast(docs.sparkSession.createDataFrame(named, "head long, range int")), F.col("doc_id") == F.col("head"))
-    guests = guests.select("doc_id", "text", "range")
-    for head, r in after:
-        if head < 0:
-            guests = guests.union(docs.where("doc_id is null").orderBy("text").limit(1).withColumn("range", F.lit(r)))
+    keys = docs.select(F.col("doc_id").cast("long").alias("k"))
+    named, unnamed = _ranges(keys.where("k is not null")), [[], []]
+    if not keys.where("k is null").isEmpty():
+        unnamed = _ranges(docs.where("doc_id is null").select(F.xxhash64("text").alias("k")))
+    # Ranges of null ids have the numbers below zero.
+    below = sum(len(f) + 1 for f in unnamed[1:])
+    k = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    where = F.when(F.col("doc_id").isNotNull(), _range_of(named, k)).otherwise(_range_of(unnamed, k) - below)
+    placed = docs.withColumns({"k": k, "range": where})
+    heads = {r["range"]: r["head"] for r in placed.groupBy("range").agg(F.max("k").alias("head")).collect()}
+    order = sorted(heads, reverse=True)
+    after = [(heads[order[(i + 1) % len(order)]], order[(i + 1) % len(order)] < 0, r) for i, r in enumerate(order)]
+    after = docs.sparkSession.createDataFrame(after, "head long, null_id boolean, range int")
+    guests = placed.drop("range").withColumn("null_id", F.col("doc_id").isNull())
+    guests = guests.join(F.broadcast(after), (guests.k == after["head"]) & (guests["null_id"] == after["null_id"])).select(*placed.columns)
     rows = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
     rows = prepare(rows.repartition("range"))
-    by = W_.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    by = W_.partitionBy("range").orderBy("guest", F.col("k").desc(), "text")
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(by) for c in ("text", *carry)})
-    return rows.where(~F.col("guest")).drop("range", "guest")
+    return rows.where(~F.col("guest")).drop("range", "guest", "k")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
