@@ -9,6 +9,7 @@ products, and the best of each block are ranked again by the exact cosine of the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canvass.llm.common import sent_model, stored, table
+from canvass.llm.common import freeing, sent_model, stored, table
 
 #: Bound of the sample that the codebooks are fitted on (vectors, chosen by a hash of the id).
 SAMPLE = 8192
 CENTRES, WIDTH, ROUNDS = 16, 2, 6
 #: Cosine above which the inner product should be kept best; it sets the weight of the parallel residual.
 THRESHOLD = 0.2
-BLOCK, QUERIES = 4096, 256
-#: Candidates of each block that are ranked exactly, for each neighbour asked for.
+#: Vectors to a block: as many as give ``BLOCKS`` blocks, from ``BLOCK`` up to what holds ``BLOCK_BYTES`` of vectors; the
+#: queries go to every block, so larger blocks mean fewer copies of them. Queries to a block.
+BLOCK, BLOCKS, BLOCK_BYTES, QUERIES = 4096, 64, 16 << 20, 256
+#: Candidates of each block that are ranked exactly, for each neighbour asked for: the same number however large the block.
 RERANK = 48
+#: Vectors of different lengths are searched apart; with more lengths than this something is wrong with the table.
+MAX_LENGTHS = 64
 EVERY = 50
 
 
@@ -112,12 +117,11 @@ class Quantiser:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v`` (array of double): rows whose vector is finite, not zero and of the most frequent length."""
+    """``vec_id, v`` (array of double): rows whose id is not null and whose vector is finite and not zero."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine)
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (common["n"] if common else 0))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -125,9 +129,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
-    """A quantiser fitted on about ``sample`` of the usable vectors; None without any."""
-    n = rows.count()
+def fit(rows: DataFrame, n: int, sample: int = SAMPLE) -> Quantiser | None:
+    """A quantiser fitted on about ``sample`` of the ``n`` usable vectors of one length; None without any."""
     scale = 1 << 30
     part = min(scale, scale * sample // max(n, 1) + 1)
     chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(scale)) < part).orderBy("vec_id").limit(2 * sample).select("v").collect()
@@ -164,7 +167,7 @@ def _blocks(rows: DataFrame, quantiser: Quantiser, size: int) -> DataFrame:
         if sum(map(len, ids)):
             yield out(size)
 
-    return rows.mapInArrow(run, "block string, ids binary, codes binary, vectors binary")
+    return rows.mapInArrow(freeing(run), "block string, ids binary, codes binary, vectors binary")
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -193,19 +196,29 @@ def _spare(v: np.ndarray, k: int) -> np.ndarray:
 def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest by cosine that are found, for each row where ``is_query``.
 
-    Candidates are all rows but those with the query's own id. The score is the exact cosine in double
-    precision; ties go to the smaller id. Null ids, and vectors that are null, zero, of an unusual
-    length or hold null or non-finite components, take no part; with fewer candidates there are fewer rows. Every
-    block of codes is scanned for every query, block against block.
+    Candidates are all rows of the query's length but those with the query's own id. The score is the exact cosine in double
+    precision; ties go to the smaller id. Null ids, and vectors that are null, zero or hold null or non-finite
+    components, take no part; with fewer candidates there are fewer rows. An id that occurs more than once is one candidate
+    and one query, with the nearest of its vectors. ``is_query`` sees ``vec_id`` alone; other columns of
+    ``vectors`` are not read, whatever their names; an empty table gives an empty one. Every block of codes is scanned for
+    every query, block against block.
     """
     rows = usable(vectors.select("vec_id", "embedding"))
-    quantiser = fit(rows)
-    spark = vectors.sparkSession
-    if quantiser is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    data = stored(_blocks(rows, quantiser, BLOCK), "blocks")
+    lengths = {r["dim"]: r["count"] for r in rows.groupBy(F.size("v").alias("dim")).count().limit(MAX_LENGTHS + 1).collect()}
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"vectors of over {MAX_LENGTHS} lengths")
+    found = [_search(rows.where(F.size("v") == dim), n, dim, is_query, k) for dim, n in sorted(lengths.items())]
+    return reduce(DataFrame.union, found or [vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")])
+
+
+def _search(rows: DataFrame, n: int, dim: int, is_query, k: int) -> DataFrame:
+    """``search`` over vectors of one length."""
+    spark = rows.sparkSession
+    quantiser = fit(rows, n)
+    size = max(BLOCK, min(-(-n // BLOCKS), BLOCK_BYTES // (8 * max(dim, 64))))
+    data = stored(_blocks(rows, quantiser, size), "blocks")
     asked = stored(_blocks(rows.where(is_query), quantiser, QUERIES), "queries")
-    tiles = data.count()  # one for every BLOCK vectors
+    tiles = data.count()  # one for every block
     placed = data.withColumn("tile", F.pmod(F.xxhash64("block"), F.lit(tiles))).hint("shuffle_hash")
     each = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"))
     pairs = each.join(placed, "tile")
@@ -221,8 +234,10 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
                 scores = own.scan(unit_q, np.frombuffer(codes, np.uint8).reshape(len(ids), -1))
                 scores[q_ids[:, None] == ids[None, :]] = -np.inf
                 scores[:, _spare(v, k)] = -np.inf  # a crowd of equal vectors leaves room for others
+                scores[:, np.flatnonzero((ids[1:] == ids[:-1]) & (v[1:] == v[:-1]).all(axis=1))] = -np.inf  # repeated rows
                 best = _best(scores, RERANK * k)
-                exact = np.einsum("qd,qkd->qk", unit_q, unit_v[best])
+                some = max(1, (16 << 20) // (8 * own.dim * best.shape[1]))
+                exact = np.concatenate([np.einsum("qd,qkd->qk", unit_q[i : i + some], unit_v[best[i : i + some]]) for i in range(0, len(best), some)])
                 found = np.where(np.take_along_axis(scores, best, 1) == -np.inf, -np.inf, exact)
                 order = np.lexsort((ids[best], -found), axis=1)[:, :k]
                 found, of = np.take_along_axis(found, order, 1), ids[np.take_along_axis(best, order, 1)]
@@ -231,7 +246,8 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
                     [pa.array(np.repeat(q_ids, order.shape[1])[ok.ravel()]), pa.array(of[ok]), pa.array(found[ok])], names=["query_id", "vec_id", "score"]
                 )
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = pairs.mapInArrow(freeing(run), "query_id long, vec_id long, score double").repartition("query_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
