@@ -34,26 +34,36 @@ def targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
 
     Sources by code point, nulls last, weigh 1, 2, 3 and so on again. The budgets share the sum
     of all sizes by weight; one that would pass ``max_repeats`` times its source stops there
-    and the others share its excess by weight. Going up by the level at which a source
-    stops, the level rises until the first that does not stop, which fixes it for the rest, and falls after it.
+    and the others share its excess by weight, until none is above.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    per = per.withColumn("weight", (rank - 1) % 3 + 1).withColumn("cap", max_repeats * F.col("source_size"))
-    by_level = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("level", (
-        (F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        / (F.sum("weight").over(W.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    ))
-    per = per.withColumn("stops", F.col("cap") <= F.col("level") * F.col("weight"))
-    level = F.max(F.when(~F.col("stops"), F.col("level"))).over(W.partitionBy())
+    per = _ranked(per).withColumn("weight", F.col("rank") % 3 + 1).withColumn("cap", max_repeats * F.col("source_size"))
+    per = stored(per, "sources")
+    total, weight, free = per.agg(F.sum("source_size"), F.sum("weight"), F.count(F.lit(1))).first()
+    level = total / weight if weight else 0.0
+    stops = lambda level: F.col("cap") <= F.lit(level) * F.col("weight")
+    while free:  # one aggregation a round; the level only rises, and rests when no further source stops
+        capped, lighter, left = per.agg(F.sum(F.when(stops(level), F.col("cap"))), F.sum(F.when(~stops(level), F.col("weight"))), F.count_if(~stops(level))).first()
+        if left in (0, free):
+            break
+        free, level = left, (total - capped) / lighter
     return per.select(
         "source", "source_size",
-        F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(level * F.col("weight")).alias("target"),
+        F.when(stops(level), F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("weight")).alias("target"),
     )
 
 
+def _ranked(per: DataFrame) -> DataFrame:
+    """Adds ``rank``, the place of a source by code point from 0, nulls last, without one task for all of them."""
+    # The id holds the number of the sorted partition above the place in it.
+    placed = stored(per.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "sorted")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    ends = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select("part", F.coalesce(before, F.lit(0)).alias("before"))  # a row for each shuffle partition
+    return placed.join(F.broadcast(ends), part == F.col("part")).withColumn("rank", F.col("before") + place).drop("at", "part", "before")
+
+
 def mixing_plan(docs: DataFrame, max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame, bool]:
     """Sizes by document, the plan by source (``of, source_size, target, whole, cut``), and whether the plan is small."""
     sizes = stored(
@@ -155,7 +165,8 @@ OP9_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 1, 15))::BIGINT AS hash,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
