@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import small_batches, table
+from canvass.llm.common import freeing, small_batches, table
 from canvass.llm.vocab import read_ranks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,9 @@ BLOCK_CHARS = 16 << 20
 #: Word places in a row that carries documents.
 ROW_WORDS = 1 << 16
 
+#: Stored bytes of input to a partition of words or documents, where that makes more than the session's shuffle partitions.
+PART_BYTES = 32 << 20
+
 #: White space as the pattern has it (fixed by Unicode).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = regex.compile(rf"[{_SPACE}][{_SPACE}]")
@@ -147,12 +150,15 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
     Each match of ``pattern`` is encoded separately, without special tokens. Null and empty texts
     have an empty array. Repeated rows and null ids keep their rows; other columns of ``docs`` are
     not read; an empty table gives an empty one. ``docs`` is read twice and must come in the
-    same order (files and tables do). ``slots`` should be some times the number of shuffle partitions, as it is by default.
+    same order (files and tables do). Partitions grow in number with the stored size of ``docs``, not in size; ``slots``
+    is four times their number by default.
     """
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(read_ranks(path))
-    slots = slots or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored_bytes = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(stored_bytes // PART_BYTES, 1 << 20))
+    slots = slots or 4 * parts
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     kind = kind if kind in _ID_TYPES else "string"
     id_type = _ID_TYPES[kind]
@@ -179,7 +185,7 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
             if block.chars:
                 yield _batch(list(rows_of(block, slots)), schema)
 
-        return run
+        return freeing(run)
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -228,9 +234,9 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
     held = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast(kind), "text")
     columns = f"slot int, block string, mark bigint, doc_ids array<{kind}>, words binary, numbers binary"
     words = held.mapInArrow(explode(Block.word_rows, False), columns)
-    coded = words.repartition("slot").sortWithinPartitions("slot").mapInArrow(encode_words, columns)
+    coded = words.repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(freeing(encode_words), columns)
     documents = held.mapInArrow(explode(Block.document_rows, True), columns)
-    return coded.union(documents).groupBy("block").applyInArrow(reassemble, f"doc_id {kind}, ids array<int>")
+    return coded.union(documents).repartition(parts, "block").groupBy("block").applyInArrow(reassemble, f"doc_id {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -253,7 +259,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
             found = [None if x.as_py() is None else b"".join(map(get, x.values.to_numpy(zero_copy_only=False).tolist())) for x in ids]
             yield batch.append_column("decoded", pa.array(found, pa.binary()))
 
-    return coded.mapInArrow(run, coded.withColumn("decoded", F.lit(b"")).schema)
+    return coded.mapInArrow(freeing(run), coded.withColumn("decoded", F.lit(b"")).schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
