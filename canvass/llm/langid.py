@@ -2,15 +2,17 @@
 
 A model reads the words of a text (runs of letters, in lower case), each between a start and an
 end mark. The n-grams of all languages lie in one sorted array of 64-bit hashes for each
-order, beside a matrix with a column per language: the interpolated log-probability of the
-n-gram, and the weight left to the next lower order for contexts. The text's language is the one
-with the lowest cross-entropy per character.
+order, beside the languages that have the n-gram with their interpolated log-probabilities, or
+for contexts the weight left to the next lower order. The text's language is the one with the
+lowest cross-entropy per character.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,30 +20,46 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import sent_model, small_batches, table
+from canvass.llm.common import freeing, sent_model, small_batches, table
 
 ORDER = 4
-#: Bound of the labelled sample the models are fitted on: documents of each language, and languages.
+#: Bound of the labelled sample the models are fitted on: documents of each language, and of all together.
 DOCS_PER_LANG = 400
-MAX_LANGS = 256
+SAMPLE_DOCS = 100_000
 #: One in so many of the sample's documents calibrates the scores instead.
 CALIBRATION = 5
 #: A document is rejected where its cross-entropy lies this many standard deviations above what is
 #: usual for its language, and nearer to that of letters drawn at random.
 REJECT_SD = 8.0
+#: A language with fewer calibration texts than this takes what is usual for all languages together.
+FEW = 8
 UNKNOWN = "und"
-#: Distinct pieces of text remembered in a task before it forgets them all.
-REMEMBERED = 200_000
+#: Bounds of a task's memory, whatever the texts: characters cut into pieces at once, pieces remembered
+#: (and bytes of their scores) before it forgets them all, and cells (characters x languages) scored at once.
+WINDOW, REMEMBERED, REMEMBERED_BYTES, CELLS = 1 << 18, 100_000, 16 << 20, 1 << 19
 _START, _END = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _WORDS = regex.compile(r"\p{L}+").findall
+_GAP = re.compile(r"\s")
 
 
 def words_of(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
+def windows(text: str, size: int = WINDOW) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, cut only where a piece between white space ends."""
+    at = 0
+    while len(text) - at > size:
+        end = _GAP.search(text, at + size)
+        if not end:
+            break
+        yield text[at : end.start()]
+        at = end.start()
+    yield text[at:] if at else text
+
+
 def _events(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all words with their marks, each one's place in its word, and the words' starts."""
     text = "".join(f"\x01{w}\x02" for w in words)
@@ -100,6 +118,28 @@ def kneser_ney(counts: Counter, order: int, alphabet: int) -> list[dict[str, np.
     return out
 
 
+class _Sparse:
+    """Values of several languages by hash: sorted keys, and for each the languages that have it."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        none = np.zeros(0, np.uint64)
+        keys = np.concatenate([none, *[k for k, _ in parts]])
+        lang = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+        order = np.argsort(keys, kind="stable")
+        self.lang, self.value = lang[order], np.concatenate([none.astype(np.float32), *[v for _, v in parts]]).astype(np.float32)[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys)).astype(np.int64)
+
+    def of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each value found, the place in ``wanted``, the language and the value."""
+        at, known = _find(self.keys, wanted)
+        place = np.flatnonzero(known)
+        begin, n = self.first[at[place]], np.diff(self.first)[at[place]] if len(self.keys) else np.zeros(0, np.int64)
+        ends = np.cumsum(n)
+        of = np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(n) else 0)
+        return np.repeat(place, n), self.lang[of], self.value[of]
+
+
 class LanguageModels:
     """Character models of several languages, with calibrated scores and rejection."""
 
@@ -109,37 +149,39 @@ class LanguageModels:
         models = [kneser_ney(x, order, self.alphabet) for x in counts]
         self.grams, self.backoff = [], []
         for n in range(order):
-            self.grams.append(self._merge([(m[n]["keys"], np.log(m[n]["prob"])) for m in models], np.nan))
-            self.backoff.append(self._merge([(m[n]["contexts"], np.log(m[n]["rest"])) for m in models], 0.0))
-        self.sharpness, self.usual = 1.0, np.tile([np.inf, 0.0, 0.0], (len(langs), 1))
-
-    @staticmethod
-    def _merge(parts: list[tuple[np.ndarray, np.ndarray]], missing: float) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.unique(np.concatenate([k for k, _ in parts]))
-        values = np.full((len(keys), len(parts)), missing, np.float32)
-        for i, (k, v) in enumerate(parts):
-            values[np.searchsorted(keys, k), i] = v
-        return keys, values
-
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Log-probability of each word and its end in each language."""
-        if not words:
-            return np.zeros((0, len(self.langs)))
+            self.grams.append(_Sparse([(m[n]["keys"], np.log(m[n]["prob"])) for m in models]))
+            self.backoff.append(_Sparse([(m[n]["contexts"], np.log(m[n]["rest"])) for m in models]))
+        # Where nothing is known of a language, only what is near to letters drawn at random is rejected.
+        self.sharpness, self.usual = 1.0, np.tile([0.7 * np.log(self.alphabet), 0.0, 0.0], (len(langs), 1))
+
+    def word_scores(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Log-probability of each word and its end in each language, some words at a time."""
+        most, first, size = max(1, CELLS // max(len(self.langs), 1)), 0, 0
+        for i, w in enumerate(words):
+            size += len(w) + 2
+            if size >= most or i == len(words) - 1:
+                yield words[first : i + 1], self._scores(words[first : i + 1])
+                first, size = i + 1, 0
+
+    def _scores(self, words: list[str]) -> np.ndarray:
         codes, place, starts = _events(words)
-        hashes = _hashes(codes, self.order)
-        score = np.full((len(codes), len(self.langs)), -np.log(self.alphabet))
-        for n in range(1, self.order + 1):
-            at = np.flatnonzero((place >= 1) & (place >= n - 1))
-            context = hashes[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.uint64)
-            keys, values = self.backoff[n - 1]
-            i, known = _find(keys, context)
-            lower = score[at] + np.where(known[:, None], values[i], 0.0)
-            keys, values = self.grams[n - 1]
-            i, known = _find(keys, hashes[n][at])
-            own = np.where(known[:, None], values[i], np.nan)
-            score[at] = np.where(np.isnan(own), lower, own)
-        score[starts] = 0.0
-        return np.add.reduceat(score, starts, axis=0)
+        hashes, out = _hashes(codes, self.order), np.zeros((len(words), len(self.langs)))
+        most = max(1, CELLS // max(len(self.langs), 1))
+        for low in range(0, len(codes), most):  # one slice, but for words longer than that
+            at = np.arange(low, min(low + most, len(codes)))
+            score = np.full((len(at), len(self.langs)), -np.log(self.alphabet))
+            for n in range(1, self.order + 1):
+                row = np.flatnonzero((place[at] >= 1) & (place[at] >= n - 1))
+                context = hashes[n - 1][at[row] - 1] if n > 1 else np.zeros(len(row), np.uint64)
+                i, lang, value = self.backoff[n - 1].of(context)
+                score[row[i], lang] += value
+                i, lang, value = self.grams[n - 1].of(hashes[n][at[row]])
+                score[row[i], lang] = value
+            score[place[at] == 0] = 0.0
+            first = np.searchsorted(starts, low, "right") - 1
+            own = starts[first:][starts[first:] < low + most]
+            out[first : first + len(own)] += np.add.reduceat(score, np.maximum(own - low, 0), axis=0)
+        return out
 
     def judge(self, sums: np.ndarray, events: np.ndarray, letters: np.ndarray) -> pd.DataFrame:
         """Language, score, cross-entropy (nats for each character) and rejection of texts from their sums."""
@@ -173,43 +215,69 @@ class LanguageModels:
         grid = np.geomspace(0.01, 10, 40)
         loss = [np.logaddexp.reduce(-gap * s, axis=1).mean() for s in grid]
         self.sharpness = float(grid[int(np.argmin(loss))])
+        usual = lambda x, size: (  # noqa: E731; the variance by size comes from a median of squares
+            mean := np.average(x, weights=np.sqrt(size)), float(np.var(x)), float(np.median((x - mean) ** 2 * size)) * 2.2
+        )
+        if len(own) >= FEW:
+            self.usual[:] = usual(own, events)
         for i in range(len(self.langs)):
-            x, size = own[truth == i], events[truth == i]
-            if len(x) >= 8:
-                mean = np.average(x, weights=np.sqrt(size))
-                by_size = float(np.median((x - mean) ** 2 * size)) * 2.2  # variance from a median of squares
-                self.usual[i] = mean, float(np.var(x)), by_size
+            if (truth == i).sum() >= FEW:
+                self.usual[i] = usual(own[truth == i], events[truth == i])
 
 
 class Scorer:
-    """Sums of word scores over texts; remembers the pieces between white space that it has seen."""
+    """Sums of word scores over texts; remembers the pieces between white space that it has seen.
+
+    A text is taken in windows, and what is remembered or scored at once is bounded in bytes, so memory
+    depends neither on the texts nor on the number of languages.
+    """
 
     def __init__(self, models: LanguageModels):
-        self.models, self.index, self.rows = models, {}, np.zeros((0, len(models.langs) + 2))
+        self.models, self.index, self.width = models, {}, len(models.langs) + 2
+        self.room = max(1, min(REMEMBERED, REMEMBERED_BYTES // (8 * self.width)))
+        self.rows, self.words = np.zeros((0, self.width)), {}
+
+    def _learn(self, fresh: list[str]) -> None:
+        found = [words_of(p) for p in fresh]
+        used = len(self.index)
+        if used + len(fresh) > len(self.rows):
+            self.rows = np.concatenate([self.rows[:used], np.zeros((max(len(fresh), min(used, self.room)), self.width))])
+        owners: dict[str, list[int]] = {}
+        for i, x in enumerate(found):
+            for w in x:
+                owners.setdefault(w, []).append(used + i)
+        for words, scores in self.models.word_scores(list(owners)):
+            at = [owners[w] for w in words]
+            each = np.repeat(np.arange(len(words)), [len(x) for x in at])
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            flat = np.fromiter(chain.from_iterable(at), np.int64, len(each))
+            np.add.at(self.rows, flat, np.column_stack([scores, size + 1, size])[each])
+        self.index.update(zip(fresh, range(used, used + len(fresh))))
+
+    def _add(self, cut: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+        """Add the pieces of each text to its row; together they are ``room`` at most."""
+        if len(self.index) >= self.room:
+            self.index, self.rows = {}, np.zeros((0, self.width))
+        if fresh := list(set().union(*(x for _, x in cut)) - self.index.keys()):
+            self._learn(fresh)
+        for i, pieces in cut:
+            if pieces:
+                out[i] += self.rows[np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))].sum(axis=0)
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text the log-probability by language, the characters with word ends, and the letters."""
-        cut = [(t or "").split() for t in texts]
-        if len(self.index) > REMEMBERED:
-            self.index, self.rows = {}, self.rows[:0].copy()
-        fresh = list(set().union(*cut) - self.index.keys()) if cut else []
-        if fresh:
-            found = [words_of(p) for p in fresh]
-            words = list({w for x in found for w in x})
-            scores = dict(zip(words, self.models.word_scores(words)))
-            rows = np.zeros((len(fresh), self.rows.shape[1]))
-            for row, x in zip(rows, found):
-                for w in x:
-                    row[:-2] += scores[w]
-                    row[-2] += len(w) + 1
-                    row[-1] += len(w)
-            self.index.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
-            self.rows = np.concatenate([self.rows, rows])
-        get = self.index.__getitem__
-        out = np.zeros((len(cut), self.rows.shape[1]))
-        for i, x in enumerate(cut):
-            if x:
-                out[i] = self.rows[np.fromiter(map(get, x), np.int64, len(x))].sum(axis=0)
+        out, cut, size = np.zeros((len(texts), self.width)), [], 0
+        for i, text in enumerate(texts):
+            for part in windows(text or ""):
+                pieces = part.split()
+                for at in range(0, len(pieces), self.room):
+                    some = pieces[at : at + self.room]
+                    if size + len(some) > self.room:
+                        self._add(cut, out)
+                        cut, size = [], 0
+                    cut.append((i, some))
+                    size += len(some)
+        self._add(cut, out)
         return out[:, :-2], out[:, -2], out[:, -1]
 
 
@@ -221,16 +289,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = ORDER) -> LanguageModels:
     """Models of the languages in ``labelled`` (columns ``text``, ``lang``), from a bounded sample.
 
-    The sample has about ``docs_per_lang`` distinct whole documents of each of the ``MAX_LANGS`` most
-    frequent languages, chosen by a hash of the text; only the sample comes to the driver. Rows with a null text
+    The sample has about ``docs_per_lang`` distinct whole documents of each language (fewer if that would
+    make more than ``SAMPLE_DOCS``), chosen by a hash of the text; only the sample comes to the driver. Every
+    language is learned; more of them than ``SAMPLE_DOCS`` raise an error. Rows with a null text
     or language teach nothing; without any rows there are no languages.
     """
     labelled = labelled.select("lang", "text").where("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).limit(SAMPLE_DOCS + 1).collect()
     if not counts:
         return LanguageModels([], [], 0)
+    if len(counts) > SAMPLE_DOCS:
+        raise ValueError(f"over {SAMPLE_DOCS} languages")
+    docs_per_lang = max(1, min(docs_per_lang, SAMPLE_DOCS // len(counts)))
     scale = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(scale, scale * docs_per_lang // r["count"] + 1))])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(scale, scale * docs_per_lang // max(r["n"], 1) + 1))])
     rank = F.pmod(F.xxhash64("text"), F.lit(scale))
     rows = labelled.where(rank < F.element_at(share, F.col("lang"))).distinct().collect()
     rows = sorted((r["lang"], r["text"]) for r in rows)
@@ -251,12 +323,15 @@ def predictor(spark: SparkSession, models: LanguageModels):
     small_batches(spark)
     sent = sent_model(spark, models)  # bounded by the sample that it was fitted on
 
-    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent())
         for texts in batches:
             yield scorer.models.judge(*scorer.sums(texts.tolist()))
 
+    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from freeing(run)(batches)
+
     return predict
 
 
