@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import small_batches, stored, table
+from canvass.llm.common import first_of_each, freeing, joined_by_share, small_batches, stored, table
 from canvass.operators.components import connected_components
 
 BITS = 64
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int
             yield x.assign(fp=fp.view(np.int64))
 
     schema = docs.select("doc_id", F.lit(0).cast("long").alias("fp")).schema
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInPandas(freeing(run), schema)
 
 
 def segment_masks(segments: int = SEGMENTS) -> list[int]:
@@ -108,44 +108,47 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) ->
     return pairs.union(stars).distinct()
 
 
+def components(docs: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """``key, least, n, component, component_id`` of every distinct fingerprint, and ``doc_id, key`` of every row."""
+    rows = stored(fingerprints(docs).withColumnRenamed("fp", "key"), "fingerprints")
+    fps = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    parts = connected_components(links(fps.select(F.col("key").alias("fp")), max_bits))
+    moved = fps.join(parts.withColumnRenamed("node", "key"), "key")
+    low = moved.groupBy("component").agg(F.min("least").alias("component_id"))
+    moved = moved.join(low, "component").select("key", "component", "component_id")
+    alone = F.col("component").isNull()
+    texts = fps.join(moved, "key", "left").select(
+        "key", "least", "n", F.coalesce("component", "key").alias("component"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id")
+    )
+    return stored(texts, "components"), rows
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs``: groups of fingerprints linked at ``max_bits`` or fewer.
 
     ``component_id`` is the smallest id in the group, null if all are null. Empty, blank and null
     texts have fingerprint zero and link like any other; texts shorter than a shingle
-    count as one. Repeated rows keep their rows; other columns of ``docs`` are not read.
+    count as one. Repeated rows keep their rows; other columns of ``docs`` are not read; an empty table gives an empty one.
     Copies are met once: links are sought between distinct fingerprints only.
     """
-    rows = stored(fingerprints(docs), "fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    parts = connected_components(links(fps.select("fp"), max_bits))
-    joined = fps.join(parts.withColumnRenamed("node", "fp"), "fp")
-    low = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = joined.join(low, "component").select("fp", "component_id")
-    ids = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    texts, rows = components(docs, max_bits)
+    found = joined_by_share(rows, texts.select("key", "component_id", "n"), "key", "n")
+    return found.select("doc_id", F.col("key").alias("fp"), "component_id")
 
 
 def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is its group's smallest, one row for an id; every group keeps one.
+    """The rows of ``docs`` that come first in their group: every group keeps the one row with its smallest id.
 
-    Rows with a null id have no name to be kept by: of those whose group has no id at all, one of
-    each fingerprint stays. What goes is far less than what stays, so the ids that go are joined.
+    A null id comes after all others; a group without any id keeps one row of its smallest fingerprint. Rows that
+    share an id but not a group are judged apart. An empty table gives an empty one.
     """
-    found = near_duplicates(docs, max_bits)
-    stays = F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
-    each = stored(found.where("doc_id is not null").groupBy("doc_id").agg(stays, F.count(F.lit(1)).alias("n")), "each")
-    gone = each.where("not stays").select(F.col("doc_id").alias("gone_id"))
-    named = docs.where("doc_id is not null").join(gone, docs.doc_id == gone.gone_id, "left_anti")
-    if not each.where("stays and n > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id is null")
-    if unnamed.isEmpty():
-        return named
-    lone = found.where("component_id is null").select("fp").distinct()
-    held = fingerprints(unnamed.select(F.struct(*docs.columns).alias("doc_id"), "text"))
-    held = held.join(lone, "fp", "left_semi").dropDuplicates(["fp"]).select("doc_id.*")
-    return named.unionByName(held)
+    texts, rows = components(docs, max_bits)
+
+    def keyed(docs: DataFrame) -> DataFrame:
+        held = F.struct(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id")).alias("doc_id")
+        return fingerprints(docs.select(held, "text")).select("doc_id.*", F.col("fp").alias("own_key"))
+
+    return first_of_each(docs, rows, texts, keyed)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
