@@ -1,7 +1,7 @@
 """SimHash, winnowing, language ID, mixing and nearest neighbours against brute force."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -87,7 +87,13 @@ def test_one_of_each_group_stays(docs, texts):
     ids = [r.doc_id for r in kept.collect()]
     named = {r.component_id for r in found if r.component_id is not None}
     assert sorted(i for i in ids if i is not None) == sorted(named)
-    assert ids.count(None) == len({r.fp for r in found if r.component_id is None})
+    alone = {r.fp % 2**64 for r in found if r.component_id is None}
+    assert ids.count(None) == len(set(plain_components(alone, [(f, f) for f in alone]).values()))
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    other = spark.createDataFrame([(1, "one text of some words here"), (1, "quite another one that is alone"), (2, "one text of some words here"), (None, "a third")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.deduplicate(other).collect()) == ["a third", "one text of some words here", "quite another one that is alone"]
 
 
 def plain_winnow(text):
@@ -122,10 +128,12 @@ def test_winnowing(docs, texts):
     assert got == sorted((str(i), plain_winnow(t)) for i, t in texts)
 
 
-@pytest.mark.parametrize("rows", [2, 10**6])
+@pytest.mark.parametrize("rows", [1, 2, 10, 10**6])
 def test_edited_texts(docs, texts, rows, monkeypatch):
     monkeypatch.setattr(winnow, "RANGE_ROWS", rows)
-    order = sorted(((i, t or "") for i, t in texts), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    place = lambda i, t: (i is None, -(signed(xxhash.xxh64_intdigest(t, 42)) if i is None else i), t)  # noqa: E731; null ids come by hash
+    order = sorted(((i, t or "") for i, t in texts), key=lambda x: place(*x))
     want = []
     for at, (i, t) in enumerate(order):
         after, third = order[(at + 1) % len(order)][1], len(t) // 3
@@ -175,15 +183,89 @@ def test_languages(docs, texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(60)) and not {r.doc_id for r in kept.collect()} & und
 
 
-def test_probabilities_of_a_context_sum_to_one():
-    from collections import Counter
-
-    model = langid.LanguageModels(["a"], [Counter({"abab": 3, "abc": 2, "b": 1})])
-    endings = "abc\x02"
-    base = model.word_scores(["ab"])
-    assert base.shape == (1, 1) and base[0, 0] < 0
-    total = sum(np.exp(model.word_scores([w])[0, 0]) for w in ("a", "b", "c", "ab", "abc", "abab", "ba", "bc"))
-    assert 0 < total < 1 and endings
+def plain_kneser_ney(counts, order, alphabet):
+    """The probability of a symbol after a context, by the textbook's recursion over dictionaries."""
+    grams = [Counter() for _ in range(order + 1)]
+    for word, n in counts.items():
+        marked = f"\x01{word}\x02"
+        for i in range(1, len(marked)):
+            for k in range(1, order + 1):
+                if i - k + 1 >= 0:
+                    grams[k][marked[i - k + 1 : i + 1]] += n
+    amount = [Counter() for _ in range(order + 1)]
+    amount[order] = grams[order]
+    for k in range(order - 1, 0, -1):
+        for g in grams[k]:
+            left = sum(1 for h in grams[k + 1] if h[1:] == g)
+            amount[k][g] = max(grams[k][g] if k > 1 and g[0] == "\x01" else left, 1)
+    discount = [0.0] * (order + 1)
+    for k in range(1, order + 1):
+        ones, twos = (sum(1 for x in amount[k].values() if x == n) for n in (1, 2))
+        discount[k] = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+
+    def prob(context, symbol):
+        k = len(context) + 1
+        below = prob(context[1:], symbol) if context else 1 / alphabet
+        after = [x for g, x in amount[k].items() if g[:-1] == context]
+        if not after:
+            return below
+        own = amount[k].get(context + symbol, 0)
+        return (max(own - discount[k], 0) + discount[k] * len(after) * below) / sum(after)
+
+    return prob
+
+
+def test_models_equal_the_recursion():
+    counts = [Counter({"abab": 3, "abc": 2, "b": 1, "cab": 2, "aa": 1}), Counter({"ca": 2, "acca": 1})]
+    models = langid.LanguageModels(["x", "y"], counts)
+    words = ["abab", "abca", "cc", "zab", "a", "cab"]
+    got = {w: row for some, rows in models.word_scores(words) for w, row in zip(some, rows)}
+    for i, own in enumerate(counts):
+        prob = plain_kneser_ney(own, langid.ORDER, models.alphabet)
+        for w in words:
+            marked = f"\x01{w}\x02"
+            want = sum(np.log(prob(marked[max(0, j - langid.ORDER + 1) : j], marked[j])) for j in range(1, len(marked)))
+            assert abs(got[w][i] - want) < 1e-4, (w, i)
+        for context in ("\x01", "\x01a", "ab", "c", "zz"):
+            known = [prob(context, s) for s in "abc\x02"]
+            assert abs(sum(known) + (models.alphabet - 4) * prob(context, "?") - 1) < 1e-9
+
+
+def test_memory_depends_neither_on_languages_nor_on_texts(monkeypatch):
+    import tracemalloc
+
+    langs = [f"l{i:02d}" for i in range(64)]
+    models = langid.LanguageModels(langs, [Counter({f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{c}": 3 for c in "abcdefgh"}) for i in range(64)])
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[(i * 7 + i // (3**j)) % 26] for j in range(8)) + letters[i % 26] for i in range(120_000)]
+    scorer = langid.Scorer(models)
+    tracemalloc.start()
+    scorer.sums([" ".join(words), None, "", "x" * 300_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20 and len(scorer.index) <= 2 * scorer.room
+
+
+def test_windows_and_bounds_change_no_sum(monkeypatch, texts):
+    models = langid.LanguageModels(["a", "b"], [Counter({"the": 3, "cat": 2}), Counter({"le": 3, "chat": 2})])
+    some = [t for _, t in texts] + ["a\u2003b c" * 100, " x ", "\n\n"]
+    want = langid.Scorer(models).sums(some)
+    monkeypatch.setattr(langid, "WINDOW", 7)
+    monkeypatch.setattr(langid.windows, "__defaults__", (7,))
+    monkeypatch.setattr(langid, "REMEMBERED", 5)
+    monkeypatch.setattr(langid, "CELLS", 3)
+    got = langid.Scorer(models).sums([t if len(t or "") < 9000 else t[:9000] for t in some])
+    short = [i for i, t in enumerate(some) if len(t or "") < 9000]
+    for a, b in zip(got, want):
+        assert np.allclose(a[short], b[short])
+
+
+def test_a_language_of_few_documents_rejects_random_letters(spark):
+    rows = [(i, "some words of one language are here " * 3 + "word " * (i % 5), "en") for i in range(12)]
+    docs = spark.createDataFrame(rows + [(50, "qzx jkwvq xqzjk vwxqz", None), (51, None, None)], "doc_id long, text string, lang string")
+    models = langid.fit(docs)
+    assert np.isfinite(models.usual).all()
+    assert {r.doc_id for r in langid.identify(docs, models).where("rejected").collect()} == {50, 51}
 
 
 def test_unlabelled_documents_teach_nothing(docs):
@@ -243,3 +325,26 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert {x for x in got if x[0] in (0, 1000)} == {x for x in want if x[0] in (0, 1000)}
     assert ann.search(table.where("vec_id = 501"), F.col("vec_id") % 50 == 0).count() == 0
     assert ann.search(table.where("vec_id in (0, 1)"), F.col("vec_id") % 50 == 0).count() == 1
+
+
+def test_quantised_scans_choose_what_is_ranked_exactly(spark, monkeypatch):
+    """Blocks of 1,500 vectors of which 25 are ranked exactly: without good scans recall would be 0.02."""
+    monkeypatch.setattr(ann, "BLOCK", 1500)
+    monkeypatch.setattr(ann, "RERANK", 5)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32))
+    v = centres[rng.integers(0, 40, 3000)] + 0.5 * rng.normal(size=(3000, 32))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(2)
+    got = {(r.query_id, r.vec_id) for r in ann.search(table, F.col("vec_id") % 50 == 0).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = unit[::50] @ unit.T
+    cos[np.arange(60), np.arange(0, 3000, 50)] = -2
+    want = {(50 * q, int(i)) for q, row in enumerate(cos) for i in np.argsort(-row)[:5]}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_repeated_and_null_ids_lengths_and_names(spark):
+    rows = [(0, [1.0, 0.0], 1.0, 2)] * 3 + [(1, [1.0, 0.1], 1.0, 2)] * 9 + [(2, [0.0, 1.0], 1.0, 2), (None, [1.0, 0.0], 1.0, 2), (3, [1.0, 1.0, 0.0], 1.0, 3), (50, [1.0, 0.0, 0.0], 1.0, 3), (100, [1.0, 0.2], 1.0, 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, rank int")
+    found = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(table, F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(found) == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (50, 1, 3), (100, 1, 1), (100, 2, 0), (100, 3, 2)]

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from canvass.llm import htmltext, licences, urlfilter
+from canvass.llm import htmltext, licence_texts, licences, urlfilter
 from canvass.llm.urlfilter import Rule
 
 URLS = [
@@ -59,6 +59,58 @@ def test_trees_learn_from_labelled_urls(spark):
     assert all(0 <= f < 19 for splits, _ in model.trees for f, _ in splits.values())
 
 
+def plain_tree(rows, depth):
+    """Splits and leaf values by trying every feature and bin at every node."""
+    splits, leaves = {}, {}
+    value = lambda some: -urlfilter.RATE * sum(r[1] for r in some) / (sum(r[2] for r in some) + urlfilter.SMOOTHING)
+    part = lambda some: sum(r[1] for r in some) ** 2 / (sum(r[2] for r in some) + urlfilter.SMOOTHING)
+
+    def grow(node, some, left):
+        leaves[node] = value(some)
+        best = (1e-6, None)
+        for f in range(len(rows[0][0])) if left else ():
+            for b in sorted({r[0][f] for r in some})[:-1]:
+                low, high = [r for r in some if r[0][f] <= b], [r for r in some if r[0][f] > b]
+                gain = part(low) + part(high) - part(some)
+                if gain > best[0] * (1 + 1e-9):
+                    best = (gain, (f, b, low, high))
+        if best[1]:
+            f, b, low, high = best[1]
+            splits[node] = (f, b)
+            grow(2 * node, low, left - 1)
+            grow(2 * node + 1, high, left - 1)
+
+    grow(1, rows, depth)
+    return splits, leaves
+
+
+def test_trees_equal_a_search_of_all_splits(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        bins = [rng.randrange(5), rng.randrange(3), rng.randrange(7), 0]
+        rows.append((bins, (1.0 if bins[0] > 2 and bins[2] < 4 else -1.0) * rng.choice((1, 1, 1, -1)), 0.25 * rng.randint(1, 4)))
+    splits, leaves = urlfilter._grow(spark.createDataFrame(rows, "bins array<int>, g double, h double"), 3)
+    want_splits, want_leaves = plain_tree(rows, 3)
+    assert splits == want_splits and set(leaves) == set(want_leaves) and splits
+    assert all(abs(leaves[k] - want_leaves[k]) < 1e-9 for k in leaves)
+
+
+def test_urls_that_rules_decide_are_told_apart_when_held_out(spark, sf):
+    known = urlfilter.labelled_by(spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/pages.parquet"), urlfilter.RULES)
+    kept = F.crc32(F.col("url").cast("binary")) % 3 != 0
+    model = urlfilter.fit(known.where(kept))
+    rows = urlfilter.judge(known.where(~kept), (), model).select("verdict", "blocked").collect()
+    right = sum((r.verdict == "block") == bool(r.blocked) for r in rows)
+    assert len(rows) > 20 and right >= 0.85 * len(rows), (right, len(rows))
+
+
+def test_columns_of_any_name_stay(spark):
+    table = spark.createDataFrame([(1, "http://a.org/x", "x", "one", "two", 3.0)], "page_id long, url string, x string, suffix1 string, suffix2 string, weight double")
+    row = urlfilter.judge(table, urlfilter.RULES, urlfilter.fit(urlfilter.labelled_by(table, urlfilter.RULES))).first()
+    assert (row.x, row.suffix1, row.suffix2, row.weight, row.verdict) == ("x", "one", "two", 3.0, "allow")
+
+
 def test_one_class_and_no_labels(spark, urls):
     empty = urlfilter.labelled_by(urls, ())
     assert {r.verdict for r in urlfilter.judge(urls, (), urlfilter.fit(empty)).collect()} == {"allow"}
@@ -150,6 +202,46 @@ def test_a_body_in_a_div_beside_other_articles(beside):
         assert htmltext.main_text(f"<html><body>{BOXES[0]}{page}{BOXES[-1]}</body></html>", weights) == want
 
 
+_TITLES = "\n".join(["The title of it", *(f"Paragraph {i} of the story has quite a few words in it to read" for i in range(8))])
+
+
+@pytest.mark.parametrize("page", [
+    *(f"<body class='{name}'>{BOXES[0]}<div>{_STORY}</div>{BOXES[-1]}</body>" for name in ("has-sidebar", "no-sidebar", "menu-open", "with-comments sidebar")),
+    *(f"<body>{BOXES[0]}<article class='{name}'>{_STORY}</article>{BOXES[2]}{BOXES[-1]}</body>" for name in (
+        "post related", "hentry has-comments", "legal-notice", "article-with-sidebar", "tags-news", "promo-free", "teaser")),
+    *(f"<body>{BOXES[0]}<div class='{name}'>{_STORY}</div>{BOXES[3]}{BOXES[-1]}</body>" for name in ("blog-search", "newsletterIssue", "adverts-review", "tagged metadata")),
+    f"<body><div class='menu'>{_STORY}</div></body>",
+    f"<body>{BOXES[1]}<div class='siteFooter'><p>Words of a footer</p></div><div>{_STORY}</div><div id='post-comments'><p>I liked this story</p></div></body>",
+    f"<body>{BOXES[0]}<article><p>The title of it</p>{'<p></p><div><br></div>' * 200}{_STORY.split('</h1>')[1]}</article>{BOXES[-1]}</body>",
+])
+def test_names_that_say_nothing_of_the_text(page):
+    assert htmltext.main_text(page, htmltext.learn()) == _TITLES
+
+
+@pytest.mark.parametrize("tag", ["math", "noscript", "object", "canvas", "audio", "video"])
+def test_text_in_elements_that_are_no_boilerplate_stays(tag):
+    page = f"<body>{BOXES[0]}<article>{_STORY}<p>Then <{tag}>some words</{tag}> more</p></article>{BOXES[-1]}</body>"
+    assert htmltext.main_text(page, htmltext.learn()) == _TITLES + "\nThen some words more"
+
+
+def test_the_region_is_the_best_of_all():
+    rng = random.Random(6)
+    for _ in range(400):
+        scores = [rng.randint(-4, 4) / 2 for _ in range(rng.randrange(25))]
+        first, last = htmltext.best_region(scores)
+        every = [(sum(scores[i:j]), -j, -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        best = max((x for x, _, _ in every), default=0)
+        assert sum(scores[first:last]) == max(best, 0)
+        if best > 0:  # of equal ones that which ends first, begun as late as it can but for sums of nothing
+            assert last == min(-j for x, j, _ in every if x == best)
+
+
+def test_empty_elements_and_repeated_void_ones_do_not_count():
+    row = htmltext.pieces("<p>a</p><p></p><div><i></i> </div><br><br><hr>b<br></div>")
+    kept = [(p.tag, p.closes) for p, counts in zip(row, htmltext.scored_tags(row)) if counts]
+    assert kept == [("p", False), ("p", True), ("br", False), ("br", False), ("div", True)]
+
+
 def test_comments_inside_the_article_leave_it_the_page_s_own():
     inside = "<div class='comments'><article><p>I liked this story a lot</p></article></div>"
     page = f"<body><p>Some words beside it</p><article>{_STORY}{inside}</article><p>more words beside it</p></body>"
@@ -161,13 +253,21 @@ def test_comments_inside_the_article_leave_it_the_page_s_own():
 @pytest.mark.parametrize("name, notice", [
     ("MIT", "This project is released under the MIT License."), ("MIT", "Licensed under the MIT License."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License and then prose goes on for a while on the same line"),
-    ("Apache-2.0", "Licensed under the Apache License 2.0"), ("BSD-2-Clause", licences._BSD.format("1. ", "2. ") + licences._BSD_END),
+    ("Apache-2.0", "Licensed under the Apache License 2.0"), ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    *[pair for pair in licence_texts.TEXTS],
 ])
 def test_notices_inside_longer_lines(name, notice):
     scanner, prose = licences.Scanner(), "somebody wrote these words of prose before and after it " * 30
     for text in (notice, prose + notice, notice + " " + prose, prose + notice.replace(" ", "\n", 3) + " " + prose):
         assert scanner.scan(text)[:2] == (name, 1.0)
-    assert scanner.scan(prose + "Licensed under CC BY 3.0 " + prose)[0] is None
+    assert scanner.scan(prose + "Licensed under CC BY 1.0 " + prose)[0] is None
+
+
+def test_notices_wrapped_or_after_other_words():
+    scanner = licences.Scanner()
+    wrapped = "Some prose goes before it and then this work is licensed under a Creative\nCommons Attribution 4.0 International License. Some goes after it too."
+    assert scanner.scan(wrapped)[:2] == ("CC-BY-4.0", 1.0)
+    assert scanner.scan("Copyright 2024 by the authors of this document. Released under the MIT License.")[:2] == ("MIT", 1.0)
 
 
 def test_windows_are_the_best_of_all():

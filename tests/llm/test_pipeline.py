@@ -7,8 +7,9 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from canvass.llm import mixing, queries, simhash
+from canvass.llm import mixing, queries
 from canvass.llm.vocab import read_ranks
+from test_near_copies import parts, plain_links
 
 
 @pytest.fixture(scope="module")
@@ -33,20 +34,11 @@ def test_language_id_keeps_clean_documents(stages):
 
 def test_near_dedup_keeps_one_of_each_group(stages):
     _, docs, after = stages[1]
-    rows = docs.select("doc_id", "text").collect()
-    fps = {r.doc_id: simhash.simhash(r.text) for r in rows}
-    parent = {i: i for i in fps}
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a in sorted(fps):
-        for b in sorted(fps):
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2 and find(a) != find(b):
-                parent[max(find(a), find(b))] = min(find(a), find(b))
-    assert sorted(r.doc_id for r in after.select("doc_id").collect()) == sorted({find(i) for i in fps})
+    texts = {}
+    for r in sorted(docs.select("doc_id", "text").collect()):
+        texts.setdefault(r.text, r.doc_id)
+    kept = [min(texts[t] for t in group) for group in parts(set(texts), plain_links(texts))]
+    assert sorted(r.doc_id for r in after.select("doc_id").collect()) == sorted(kept)
 
 
 def test_mixing_repeats_documents(stages):
