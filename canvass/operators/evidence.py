@@ -24,7 +24,7 @@ def phrase_hits(clusters: DataFrame, registry: DataFrame, fuzzy: float = FUZZY_R
     texts = clusters.select("cluster_id", X.normalize(F.col("text")).alias("t"))
     phrases = registry.select("entity_name", "phrase", "ord", X.normalize(F.col("phrase")).alias("p")).where("p <> ''")
     columns = ["cluster_id", "entity_name", "phrase", "ord"]
-    exact = containing(texts, phrases).select(*columns, F.lit(True).alias("exact"), F.lit(1.0).alias("ratio"))
+    exact = containing(texts, phrases, ["cluster_id"]).select(*columns, F.lit(True).alias("exact"), F.lit(1.0).alias("ratio"))
     rest = alike(phrases, texts, "p", "t", fuzzy, few="p").where(~F.contains(F.col("t"), F.col("p")))
     return exact.union(rest.select(*columns, F.lit(False), "ratio"))
 
@@ -78,7 +78,7 @@ def rule_matches(clusters: DataFrame, rules: DataFrame, min_words: int = 6, max_
     """
     phrases = stored(candidate_phrases(clusters, min_words, max_words), "phrases")
     bodies = rules.select("ord", "section", "body", X.normalize(F.col("body")).alias("b")).where("b <> ''")
-    inside = containing(bodies.select("ord", "section", F.col("b").alias("t")), phrases)
+    inside = containing(bodies.select("ord", "section", F.col("b").alias("t")), phrases, ["ord", "section"])
     exact = inside.groupBy("cluster_id", "phrase_ord", "phrase").agg(F.min(F.struct("ord", "section"))["section"].alias("section"))
     exact = exact.select("cluster_id", "phrase_ord", "phrase", "section", F.col("phrase").alias("rule_phrase"), F.lit(1.0).alias("ratio"))
     sentences = bodies.select("ord", "section", F.posexplode(F.filter(F.transform(X.sentences(F.col("body")), X.strip), lambda s: s != "")).alias("sent_ord", "rule_phrase"))

@@ -21,31 +21,38 @@ def small_side(rows: DataFrame, *texts: str) -> DataFrame:
     return F.broadcast(rows) if (rows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else rows
 
 
-def _runs(words: Column, k: int) -> Column:
-    """All runs of ``k`` words, each once."""
-    at = F.sequence(F.lit(1), F.size(words) - (k - 1))
-    return F.when(F.size(words) >= k, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+def _runs(words: str, k: int) -> Column:
+    """All runs of ``k`` of the words in an array column, each once."""
+    at = F.sequence(F.lit(0), F.size(words) - k)
+    run = lambda i: F.concat_ws(" ", *[F.get(F.col(words), i + j) for j in range(k)])
+    return F.when(F.size(words) >= k, F.array_distinct(F.transform(at, run))).otherwise(F.array().cast("array<string>"))
 
 
-def containing(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+def containing(texts: DataFrame, phrases: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``texts`` (column ``t``) beside those of ``phrases`` (column ``p``) that they contain; both normalized.
 
-    All words of a contained phrase but its first and last are whole words of the text, so the two meet by equal runs of
-    them: the phrase by its longest such run, of up to ``RUN`` words, the text by all of its runs. Only phrases of one
-    or two words are looked for in every text.
+    ``key`` names columns that tell the rows of ``texts`` apart and are not null. All words of a contained phrase but its first
+    and last are whole words of the text, so the two meet by equal runs of them: the phrase by its longest such run, of up
+    to ``RUN`` words, the text by all of its runs, which travel without it. Only phrases of one or two words are looked
+    for in every text.
     """
-    words = F.split("p", " ")
-    inner = F.greatest(F.size(words) - 2, F.lit(0))
-    k = F.least(inner, F.lit(RUN))
-    run = F.when(k > 0, F.array_max(F.transform(F.sequence(F.lit(2), F.size(words) - k), lambda i: F.struct(
-        F.char_length(F.array_join(F.slice(words, i, k), " ")).alias("n"), F.array_join(F.slice(words, i, k), " ").alias("run")
-    )))["run"])
-    phrases = small_side(phrases.withColumns({"__k": k, "__run": run}), "p", "p")
-    out = texts.join(phrases.where("__k = 0"), F.contains(F.col("t"), F.col("p")))
+    own = phrases.columns
+    phrases = phrases.withColumn("__w", F.split("p", " "))
+    phrases = phrases.withColumn("__k", F.least(F.greatest(F.size("__w") - 2, F.lit(0)), F.lit(RUN)))
+    part = lambda i: F.array_join(F.slice(F.col("__w"), i, F.col("__k")), " ")
+    inner = F.transform(F.sequence(F.lit(2), F.size("__w") - F.col("__k")), lambda i: F.struct(F.char_length(part(i)).alias("n"), part(i).alias("run")))
+    phrases = phrases.withColumn("__run", F.when(F.col("__k") > 0, F.array_max(inner)["run"])).drop("__w")
+    short = phrases.where("__k = 0").select(*own)
+    out = texts.join(small_side(short, "p"), F.contains(F.col("t"), F.col("p")))
+    words = texts.select(*key, F.split("t", " ").alias("__w"))
+    met = None
     for n in sorted(r["__k"] for r in phrases.select("__k").distinct().collect() if r["__k"]):  # RUN values at most
-        keyed = texts.select("*", F.explode(_runs(F.split("t", " "), n)).alias("__run"))
-        out = out.unionByName(keyed.join(phrases.where(F.col("__k") == n), "__run").where(F.contains(F.col("t"), F.col("p"))))
-    return out.drop("__k", "__run")
+        runs = words.select(*key, F.explode(_runs("__w", n)).alias("__run"))
+        found = runs.join(small_side(phrases.where(F.col("__k") == n), "p", "p"), "__run").select(*key, *own)
+        met = found if met is None else met.unionByName(found)
+    if met is not None:
+        out = out.unionByName(texts.join(met, key).where(F.contains(F.col("t"), F.col("p"))))
+    return out
 
 
 def alike(a: DataFrame, b: DataFrame, x: str, y: str, threshold: float, few: str) -> DataFrame:

@@ -172,8 +172,8 @@ SELECT b.item_id, count(*)::BIGINT AS n FROM benchmark b JOIN documents d
   ON contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\s+', ' ', 'g')))) GROUP BY b.item_id""")
 def phrase_probe(spark, d):
     phrases = table(spark, d, "benchmark").select("item_id", X.normalize(F.col("text")).alias("p"))
-    texts = comments(spark, d).select(F.col("normalized_text").alias("t"))
-    return joins.containing(texts, phrases).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    texts = comments(spark, d).select("comment_id", F.col("normalized_text").alias("t"))
+    return joins.containing(texts, phrases, ["comment_id"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F2_substantive", "SELECT doc_id FROM documents WHERE n_chars >= 100 AND lang IN ('en', 'fr') AND source <> 'src3'")
