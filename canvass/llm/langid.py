@@ -36,7 +36,7 @@ FEW = 8
 UNKNOWN = "und"
 #: Bounds of a task's memory, whatever the texts: characters cut into pieces at once, pieces remembered
 #: (and bytes of their scores) before it forgets them all, and cells (characters x languages) scored at once.
-WINDOW, REMEMBERED, REMEMBERED_BYTES, CELLS = 1 << 18, 100_000, 16 << 20, 1 << 19
+WINDOW, REMEMBERED, REMEMBERED_BYTES, CELLS = 1 << 18, 200_000, 16 << 20, 1 << 19
 _START, _END = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -250,8 +250,9 @@ class Scorer:
             at = [owners[w] for w in words]
             each = np.repeat(np.arange(len(words)), [len(x) for x in at])
             size = np.fromiter(map(len, words), np.int64, len(words))
-            flat = np.fromiter(chain.from_iterable(at), np.int64, len(each))
-            np.add.at(self.rows, flat, np.column_stack([scores, size + 1, size])[each])
+            flat = np.fromiter(chain.from_iterable(at), np.int64, len(each)) - used
+            for column, values in enumerate([*scores.T, size + 1, size]):
+                self.rows[used : used + len(fresh), column] += np.bincount(flat, values[each], len(fresh))
         self.index.update(zip(fresh, range(used, used + len(fresh))))
 
     def _add(self, cut: list[tuple[int, list[str]]], out: np.ndarray) -> None:
