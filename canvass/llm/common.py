@@ -6,6 +6,7 @@ import ctypes
 import gc
 import pickle
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from canvass.sources.shared import shared_root, stored
 
-__all__ = ["ascii_lower", "first_of_each", "freeing", "joined_by_share", "sent_model", "shared_root", "small_batches", "stored", "table", "word_count"]
+__all__ = ["ascii_lower", "first_of_each", "freeing", "joined_by_share", "sent_model", "shared_root", "small_batches", "small_broadcasts", "stored", "table", "word_count"]
 
 #: Rows in an Arrow batch for operators on whole texts, unless the session asks for another number.
 TEXT_BATCH = 1024
@@ -32,6 +33,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH))
 
 
+#: Bytes of a side that a join may broadcast in operators of many joins: the driver holds all sides until they are collected.
+SIDE_BYTES = 1 << 20
+
+
+@contextmanager
+def small_broadcasts(spark: SparkSession, most: int = SIDE_BYTES) -> Iterator[None]:
+    """Joins run meanwhile broadcast sides of up to ``most`` bytes on their own, or less if the session says so."""
+    keys = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    conf = spark._jsparkSession.sessionState().conf()
+    now = conf.autoBroadcastJoinThreshold()
+    was = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, str(min(now, most)))
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def sent_model(spark: SparkSession, model: object) -> Callable[[], object]:
     """Broadcast a model of bounded size with its class; call the result on an executor to get it."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import first_of_each, freeing, small_batches, stored
+from canvass.llm.common import first_of_each, freeing, small_batches, small_broadcasts, stored
 from canvass.llm.simhash import _LOWER, _signed, segment_masks
 from canvass.operators.components import connected_components
 
@@ -31,9 +31,8 @@ TABLES, MAX_BITS, SEGMENTS, CHAIN = 2, 6, 7, 2
 #: Buckets with more texts than this near their middle are compared by stars first, and in pairs only between what the stars
 #: leave apart. (Buckets that are only full of texts far from each other give few pairs, however many meet there.)
 CROWD = 8
-#: Longs of the SimHash of shingles that such pairs are sifted by, and how many standard deviations from 0.8 it lets pass:
-#: of links just at 0.8 that nothing else connects it loses 1 in 44, of those at 0.83 less than 1 in 1,000.
-SIFT, SIFT_SD = 16, 2.0
+#: Longs of the odd bits by which such pairs are bounded before they are compared.
+ODD = 16
 #: Words or shingles whose bits are counted at once.
 _BLOCK = 1 << 14
 
@@ -64,16 +63,21 @@ def shingles(text: str | None, size: int = SHINGLE_WORDS) -> list[bytes]:
     return list({b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}) if words else []
 
 
-def shingle_fingerprint(text: str | None) -> list[int]:
-    """A SimHash of ``SIFT`` longs over the distinct shingles."""
-    found = shingles(text)
-    return _majority([b"".join(xxhash.xxh3_128_digest(s, seed) for seed in range(SIFT // 2)) for s in found], SIFT)
-
-
 def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles(text)), np.uint64))
 
 
+def odd_bits(hashes: np.ndarray, longs: int = ODD) -> list[int]:
+    """Bit j is 1 if an odd number of the hashes leave j: two sets differ in as many elements at least as these differ in bits."""
+    odd = np.bincount((hashes % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def most_apart(both_sizes, similarity: float):
+    """In how many elements two sets differ at most if they are as similar as that; ``both_sizes`` is the sum of their sizes."""
+    return both_sizes * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two sorted sets; 1 if both are empty."""
     if len(a) > len(b):
@@ -136,12 +140,12 @@ def _within(max_bits: int) -> Callable[[Callable, Callable], Column]:
 
 
 def _first_met(x: Callable, y: Callable, max_bits: int, segments: int, chain: int) -> Column:
-    """Whether two texts share no bucket of a slot before this one."""
+    """Whether two texts are not within ``max_bits`` in a bucket of a slot before this one."""
     masks, budget, out = segment_masks(segments), [n * max_bits // segments for n in range(1, chain + 1)], F.lit(True)
     for t in range(TABLES):
         differ = x(f"fp{t}").bitwiseXOR(y(f"fp{t}"))
         for i in range(segments):
-            met = F.lit(True)
+            met = F.bit_count(differ) <= max_bits
             for n in range(chain):
                 part = sum(masks[(i + j) % segments] for j in range(n + 1))
                 met = met & (F.bit_count(differ.bitwiseAND(F.lit(_signed(part)))) <= budget[n])
@@ -151,13 +155,15 @@ def _first_met(x: Callable, y: Callable, max_bits: int, segments: int, chain: in
 
 def _middles(own: DataFrame, max_bits: int, crowd: int) -> DataFrame:
     """``slot, key, node, fp`` of the text nearest to the bucket's majority, bit by bit, of buckets with over ``crowd`` texts near it."""
-    bit = lambda j: F.shiftrightunsigned("fp", j).bitwiseAND(F.lit(1).cast("long"))
+    low = (1 << 32) | 1  # two bits of a fingerprint are counted in one long
+    bits = lambda j: F.shiftrightunsigned("fp", j).bitwiseAND(F.lit(low))
+    count = lambda j: F.shiftrightunsigned(f"b{j % 32}", j // 32 * 32).bitwiseAND(F.lit((1 << 32) - 1))
     full = own.groupBy("slot", "key").count().where(F.col("count") > crowd).select("slot", "key")
     own = stored(own.join(full, ["slot", "key"], "left_semi"), "full")
-    votes = own.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(bit(j)).alias(f"b{j}") for j in range(64)])
+    votes = own.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(bits(j)).alias(f"b{j}") for j in range(32)])
     middle = F.lit(0).cast("long")
     for j in range(64):
-        middle = middle.bitwiseOR(F.when(F.col(f"b{j}") * 2 > F.col("n"), F.lit(_signed(1 << j))).otherwise(F.lit(0).cast("long")))
+        middle = middle.bitwiseOR(F.when(count(j) * 2 > F.col("n"), F.lit(_signed(1 << j))).otherwise(F.lit(0).cast("long")))
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
     found = own.join(votes.select("slot", "key", middle.alias("middle")), ["slot", "key"]).groupBy("slot", "key").agg(
         F.count_if(far <= max_bits).alias("near"), F.min(F.struct(far.alias("far"), "node", "fp")).alias("head")
@@ -192,16 +198,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
 
 
 def _left_apart(own: DataFrame, members: DataFrame, links: DataFrame, docs: DataFrame, nodes: DataFrame, max_bits: int, segments: int, chain: int, similarity: float) -> DataFrame:
-    """Pairs of crowded buckets whose ends the links so far leave in different components, sifted.
+    """Pairs of crowded buckets whose ends the links so far leave in different components and that may be similar enough.
 
     In each bucket only those outside its largest component meet the others, so a crowd that the stars
-    have joined meets nobody; and a pair counts in the first slot only in which it meets. Beside the fingerprint, a SimHash of
-    the shingles must be near.
+    have joined meets nobody; and a pair counts in the first slot only in which it meets. Pairs whose odd bits
+    show that their shingles differ in too many are left out; that is a bound, so no link is lost.
     """
     parts = connected_components(links)
     named = lambda rows: rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own, members = stored(named(own), "own"), named(members)
-    sizes = own.groupBy("slot", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+    own, members = stored(named(own), "own"), stored(named(members), "named")
+    sizes = members.groupBy("slot", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("slot", "key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"))
     largest = stored(largest.where("parts > 1").drop("parts"), "mixed")
     own, members = (rows.join(largest, ["slot", "key"], "left_semi") for rows in (own, members))
@@ -209,27 +215,29 @@ def _left_apart(own: DataFrame, members: DataFrame, links: DataFrame, docs: Data
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            found = [shingle_fingerprint(t) for t in x["text"]]
-            yield x[["node"]].assign(**{f"s{i}": np.array([f[i] for f in found], np.int64) for i in range(SIFT)})
+            sets = [shingle_hashes(t) for t in x["text"]]
+            found = np.array([odd_bits(h) for h in sets], np.int64).reshape(len(sets), ODD)
+            yield x[["node"]].assign(n=[len(h) for h in sets], **{f"s{i}": found[:, i] for i in range(ODD)})
 
     texts = _texts(docs, nodes, own.select("node").union(members.select("node")))
-    sketches = texts.mapInPandas(freeing(sketch), "node long, " + ", ".join(f"s{i} long" for i in range(SIFT)))
+    sketches = texts.mapInPandas(freeing(sketch), "node long, n long, " + ", ".join(f"s{i} long" for i in range(ODD)))
     sketches = stored(sketches.join(nodes.select("node", *[f"fp{t}" for t in range(TABLES)]), "node"), "sketches")
-    # The share of bits that differ at this similarity, for sets of one size, and some deviations more.
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    most = 64 * SIFT * share + SIFT_SD * (64 * SIFT * share * (1 - share)) ** 0.5
 
     def near(x: Callable, y: Callable) -> Column:
-        differ = sum((F.bit_count(x(f"s{i}").bitwiseXOR(y(f"s{i}"))) for i in range(SIFT)), F.lit(0))
-        return (x("component") != y("component")) & _within(max_bits)(x, y) & _first_met(x, y, max_bits, segments, chain) & (differ <= most)
-
-    sides = []
-    for rows in (own, members):
-        rows = rows.join(sketches, "node")
-        sides.append((rows, rows.join(largest, ["slot", "key", "component"], "left_anti")))
-    (own_all, own_few), (all_, few) = sides
+        differ = sum((F.bit_count(x(f"s{i}").bitwiseXOR(y(f"s{i}"))) for i in range(ODD)), F.lit(0))
+        few = differ <= most_apart(x("n") + y("n"), similarity)
+        return (x("component") != y("component")) & _within(max_bits)(x, y) & few & _first_met(x, y, max_bits, segments, chain)
+
+    def sketched(rows: DataFrame) -> DataFrame:
+        """The rows with their sketches, which meet each node once, however many buckets it is in."""
+        held = rows.groupBy("node").agg(F.min("component").alias("component"), F.collect_list(F.struct("slot", "key", "fp")).alias("at"))
+        return held.join(sketches, "node").withColumn("at", F.explode("at")).select("at.*", *held.drop("at").columns, *sketches.drop("node").columns)
+
+    own_few, few = (rows.join(largest, ["slot", "key", "component"], "left_anti") for rows in (own, members))
     on = ["slot", "key"]
-    return _pairs(own_few, all_, on, near).union(_pairs(own_all, few, on, near)).distinct()
+    met = members.join(own_few.select(*on).distinct(), on, "left_semi")
+    own, own_few, met, few = (sketched(rows) for rows in (own, own_few, met, few))
+    return _pairs(own_few, met, on, near).union(_pairs(own, few, on, near)).distinct()
 
 
 def _text_key() -> Column:
@@ -242,8 +250,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, max_bits: int =
     Texts are linked if a fingerprint differs in ``max_bits`` or fewer and their shingles are as similar as
     ``similarity``; components are groups of linked texts, and ``component_id`` is the smallest id in them (null
     if all are null). Equal texts are one text; texts without words are alike, and null is empty. All pairs within a
-    bucket are tried; where over ``crowd`` texts crowd around its middle, all pairs that stars leave in different components
-    (but for the sift). Other columns of ``docs`` are not read; an empty table gives an empty one.
+    bucket are tried; where over ``crowd`` texts crowd around its middle, all pairs that stars leave in different
+    components. Other columns of ``docs`` are not read; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
 
@@ -262,14 +270,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, max_bits: int =
     full = heads.select("slot", "key")
     plain = _pairs(own.join(full, ["slot", "key"], "left_anti"), near, ["slot", "key"], _within(max_bits))
     if full.isEmpty():
-        links = _verified(stored(plain, "pairs"), docs, nodes, similarity)
+        links = stored(_verified(stored(plain, "pairs"), docs, nodes, similarity), "joined")
     else:
         crowded = stored(own.join(full, ["slot", "key"], "left_semi"), "crowd")
         members = stored(near.join(full, ["slot", "key"], "left_semi"), "members")
         stars = _pairs(heads, members, ["slot", "key"], _within(max_bits))
         links = stored(_verified(stored(plain.union(stars).distinct(), "pairs"), docs, nodes, similarity), "joined")
         left = stored(_left_apart(crowded, members, links, docs, nodes, max_bits, segments, chain, similarity), "left")
-        links = links.union(_verified(left, docs, nodes, similarity))
+        links = links.union(stored(_verified(left, docs, nodes, similarity), "rejoined"))
     parts = connected_components(links)
     texts = nodes.join(parts, "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
     low = texts.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -281,6 +289,7 @@ def without_near_copies(docs: DataFrame, **settings) -> DataFrame:
 
     Ids of null come after all others; of rows with one id, the first by the checksum of its text stays.
     """
-    texts, rows = near_copies(docs, **settings)
+    with small_broadcasts(docs.sparkSession):
+        texts, rows = near_copies(docs, **settings)
     keyed = lambda docs: docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), _text_key().alias("own_key"))
     return first_of_each(docs, rows, texts, keyed)

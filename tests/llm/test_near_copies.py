@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from canvass.llm import nearcopies as near
@@ -84,6 +85,34 @@ def test_components_are_those_of_all_links(spark, crowd):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_odd_bits_leave_out_no_similar_pair():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(1, 3000)
+        a = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+        kept, new = a[: rng.randint(0, len(a))], np.array([rng.getrandbits(64) for _ in range(rng.randint(0, max(1, n // 5)))], np.uint64)
+        b = np.unique(np.concatenate([kept, new]))
+        differ = sum(((x ^ y) % 2**64).bit_count() for x, y in zip(near.odd_bits(a), near.odd_bits(b)))
+        assert near.jaccard(a, b) < 0.8 or differ <= near.most_apart(len(a) + len(b), 0.8)
+
+
+def test_crowds_lose_no_link_at_the_limit(spark):
+    """Each family's texts meet its middle first; the ends hang on single links of 0.81, which nothing else connects."""
+    rng, texts = random.Random(5), []
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    for _ in range(120):
+        base = [word() for _ in range(100)]
+        for i in range(6):
+            one = [word() if j == 8 + 14 * i else w for j, w in enumerate(base)]
+            end = [word() if j in (3 + 14 * i, 13 + 14 * i) else w for j, w in enumerate(one)]
+            texts += [" ".join(one), " ".join(end)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found, of = near.near_copies(docs, crowd=2)
+    named = {r.doc_id: r.component_id for r in of.join(found, "key").collect()}
+    at = {t: i for i, t in enumerate(texts)}
+    assert {i: min(at[t] for t in group) for group in parts(set(texts), plain_links(texts)) for i in (at[t] for t in group)} == named
+
+
 def test_nulls_repeated_ids_and_no_rows(spark, docs, nothing):
     kept = near.without_near_copies(docs)
     rows = kept.collect()
