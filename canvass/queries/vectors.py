@@ -13,7 +13,6 @@ from canvass.sources.testdata import table, vectors
 
 #: The test vectors lie far apart; the closest pair to this cut is 1e-4 away from it.
 THRESHOLD = 0.40
-BLOCKS = 4
 
 _PAIRS = f"""
 v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
@@ -35,7 +34,7 @@ def unit(spark, d):
 
 
 def pairs(spark, d):
-    return V.similar_pairs(unit(spark, d), THRESHOLD, BLOCKS)
+    return V.similar_pairs(unit(spark, d), THRESHOLD)
 
 
 def ranked(spark, d):
