@@ -62,7 +62,7 @@ def similar_pairs(spark, d):
 WITH {_PAIRS}, e AS (SELECT a AS comment_id, b AS neighbour_id, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs)
 SELECT comment_id, neighbour_id, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY similarity DESC, neighbour_id) AS r FROM e) WHERE r <= 3""")
 def nearest(spark, d):
-    return V.nearest(pairs(spark, d), 3, THRESHOLD).select("comment_id", "neighbour_id", "rank")
+    return V.nearest_similar(unit(spark, d), 3, THRESHOLD).select("comment_id", "neighbour_id", "rank")
 
 
 @query("M3_components", f"WITH RECURSIVE {_PARTS} SELECT comment_id, component FROM parts")
