@@ -38,7 +38,7 @@ def pairs(spark, d):
 
 
 def ranked(spark, d):
-    edges = stored(pairs(spark, d), "pairs")
+    edges = stored(V.similar_links(unit(spark, d), THRESHOLD), "links")
     parts = stored(C.components_of(edges), "parts")
     return C.ranked(stored(C.medoids(parts.join(unit(spark, d).select("comment_id", "v"), "comment_id")), "medoids"))
 
@@ -67,7 +67,7 @@ def nearest(spark, d):
 
 @query("M3_components", f"WITH RECURSIVE {_PARTS} SELECT comment_id, component FROM parts")
 def components(spark, d):
-    return C.components_of(stored(pairs(spark, d), "pairs"))
+    return C.components_of(stored(V.similar_links(unit(spark, d), THRESHOLD), "links"))
 
 
 @query("N1_membership_ranks", f"WITH RECURSIVE {_PARTS} SELECT component, comment_id, representative_comment_id, round(s, 6) AS similarity_to_representative, row_number() OVER (PARTITION BY component ORDER BY s DESC, comment_id) AS membership_rank FROM ranked")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from canvass.operators.components import connected_components
 from canvass.operators import joins, vectors
 
 
@@ -65,6 +66,29 @@ def test_similar_pairs_are_those_of_all_pairs(spark, monkeypatch, blocks):
     assert set(found) == want and all(a < b for a, b in found) and len(want) > 20
 
 
+def test_links_and_nearest_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "FEW_ROWS", 20)
+    monkeypatch.setattr(vectors, "SLICE", 7)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(150, 4))
+    v[40:70] = v[:30] + 0.05 * rng.normal(size=(30, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([("d", f"c{i}" if i else None, x.tolist()) for i, x in enumerate(v)], "docket_id string, comment_id string, v array<double>")
+    pairs = vectors.similar_pairs(rows, 0.95).localCheckpoint()
+    links = vectors.similar_links(rows, 0.95).localCheckpoint()
+    parts = lambda edges: {(r.node, r.component) for r in connected_components(edges).collect()}
+    assert parts(links) == parts(pairs) and {(r.a, r.b) for r in links.collect()} <= {(r.a, r.b) for r in pairs.collect()}
+    near = lambda found: {(r.comment_id, r.neighbour_id, r.rank) for r in found.collect()}
+    assert near(vectors.nearest_similar(rows, 3, 0.95)) == near(vectors.nearest(pairs, 3, 0.95)) and pairs.count() > 80
+
+
+def test_blocks_of_large_groups_give_back_little(spark):
+    """Copies make a pair of every two: their links are a forest of each pair of blocks."""
+    rows = spark.range(1200).selectExpr("'d' AS docket_id", "cast(id AS string) AS comment_id", "array(0.6D, 0.8D) AS v")
+    assert vectors.similar_links(rows, 0.9).count() <= 6 * 1200
+    assert vectors.nearest_similar(rows, 3, 0.9).count() == 3600
+
+
 def test_cosine_rows_are_whole(spark):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(70, 5))
