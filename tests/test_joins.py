@@ -89,6 +89,11 @@ def test_blocks_of_large_groups_give_back_little(spark):
     assert vectors.nearest_similar(rows, 3, 0.9).count() == 3600
 
 
+def test_cosine_rows_shuffle_nothing(spark):
+    rows = spark.range(100).selectExpr("id", "array(1D, id + 1D) AS v")
+    assert "Exchange" not in vectors.cosine_rows(rows.where("id % 50 = 0"), rows)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cosine_rows_are_whole(spark):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(70, 5))
