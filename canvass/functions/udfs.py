@@ -62,22 +62,70 @@ def ratio_bound(a, b):
     return F.when(la + lb == 0, 1.0).otherwise(2.0 * F.least(la, lb) / (la + lb))
 
 
+#: Classes of characters that are counted to bound a ratio, and pairs whose counts are compared at once.
+CLASSES, PAIRS = 64, 1 << 14
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    """How often characters of each class occur in each text."""
+    out = np.zeros((len(texts), CLASSES), np.int32)
+    for i, t in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") % CLASSES, minlength=CLASSES)
+    return out
+
+
+def may_reach(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """False for pairs whose counts of characters show that their ratio is below ``threshold``."""
+    out = np.empty(len(a), bool)
+    for at in range(0, len(a), PAIRS):
+        shared = lengths = 0
+        sides = []
+        for texts in (a[at : at + PAIRS], b[at : at + PAIRS]):
+            codes, known = pd.factorize(np.array(texts, object))
+            counts = _counts(list(known))
+            sides.append(counts[codes])
+            lengths = lengths + counts.sum(axis=1)[codes]
+        shared = np.minimum(*sides).sum(axis=1)
+        out[at : at + PAIRS] = (lengths == 0) | (2.0 * shared >= threshold * lengths - 1e-9)
+    return out
+
+
+def in_order(places: dict[str, int], size: int, a: str) -> int:
+    """Length of the longest common subsequence of ``a`` with the text of ``size`` whose characters are at these places (bits)."""
+    every = (1 << size) - 1
+    row = every
+    for c in a:
+        met = row & places.get(c, 0)
+        row = (row + met | row - met) & every
+    return size - row.bit_count()
+
+
 def ratio_at_least(threshold: float):
-    """The ratio where it reaches ``threshold``, else null; two cheaper bounds of it are tried first."""
+    """The ratio where it reaches ``threshold``, else null; cheaper bounds of it are tried first.
+
+    What matches does so in order, so no ratio is higher than that of the longest common subsequence.
+    """
 
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, matcher = [], SequenceMatcher(None)
-        for x, y in zip(a, b):
-            found = None
-            if x is not None and y is not None:
-                if y != matcher.b:
-                    matcher.set_seq2(y)  # what is counted of the second text serves all that follow
-                matcher.set_seq1(x)
-                if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold:
-                    found = matcher.ratio()
-            out.append(found if found is not None and found >= threshold else None)
-        return pd.Series(out, dtype="float64")
+        out, matcher, places, now = np.full(len(a), np.nan), SequenceMatcher(None), {}, None
+        known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+        x_all, y_all = a.to_numpy(object)[known], b.to_numpy(object)[known]
+        for i in np.flatnonzero(may_reach(x_all.tolist(), y_all.tolist(), threshold)).tolist():
+            x, y = x_all[i], y_all[i]
+            if y != now:
+                now, places = y, {}
+                for j, char in enumerate(y):
+                    places[char] = places.get(char, 0) | 1 << j
+            if x and y and 2.0 * in_order(places, len(y), x) / (len(x) + len(y)) < threshold:
+                continue
+            if y != matcher.b:
+                matcher.set_seq2(y)  # what is counted of the second text serves all that follow
+            matcher.set_seq1(x)
+            found = matcher.ratio()
+            if found >= threshold:
+                out[known[i]] = found
+        return pd.Series(out)
 
     return run
 

@@ -4,9 +4,11 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from canvass.functions.udfs import ratio_at_least
 from canvass.operators.components import connected_components
 from canvass.operators import joins, vectors
 
@@ -102,3 +104,12 @@ def test_cosine_rows_are_whole(spark):
     assert len(got) == 7 * 69
     assert all(abs(c - v[q] @ v[i] / np.linalg.norm(v[q]) / np.linalg.norm(v[i])) < 1e-12 for (q, i), c in got.items())
     assert vectors.cosine_rows(rows.where("id < 0"), rows).count() == 0
+
+
+def test_ratio_is_not_taken_of_what_only_shares_its_letters(monkeypatch):
+    a, b = "abcdefghijklmnopqrstuvwxyz" * 3, "zyxwvutsrqponmlkjihgfedcba" * 3
+    asked = []
+    ratio = SequenceMatcher.ratio
+    monkeypatch.setattr(SequenceMatcher, "ratio", lambda self: asked.append((self.a, self.b)) or ratio(self))
+    got = ratio_at_least(0.6).func(pd.Series([a, a, None, "", "ab"]), pd.Series([b, a, a, "", "cd"]))
+    assert got[1] == got[3] == 1.0 and got.notna().sum() == 2 and (a, b) not in asked
