@@ -98,3 +98,17 @@ def test_rows_of_a_block_hold_its_documents():
         body = bpe._unpack_numbers(row["numbers"])
         n = len(row["doc_ids"])
         assert body[n:].tolist() == [c for i in row["doc_ids"] for c in block.coded[i].tolist()]
+
+
+def test_lists_are_decoded_at_once():
+    import pyarrow as pa
+
+    from canvass.llm.bpe import decoded
+
+    tokens = pa.array([b"a", b"", b"bc", None, "é".encode()], pa.large_binary())
+    ids = pa.array([[4], [0, 2, 4, 1], None, [], [2]], pa.list_(pa.int32()))
+    assert decoded(tokens, ids[1:]).to_pylist() == ["abcé".encode(), None, b"", b"bc"]
+    assert decoded(tokens, ids[:0]).to_pylist() == [] and decoded(tokens, ids[2:4]).to_pylist() == [None, b""]
+    for wrong in (3, 5, -1, None):
+        with pytest.raises(Exception):
+            decoded(tokens, pa.array([[0, wrong]], pa.list_(pa.int32())))
