@@ -270,7 +270,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield batch.append_column("decoded", decoded(known, batch.column("ids")))
 
-    return coded.mapInArrow(freeing(run), coded.withColumn("decoded", F.lit(b"")).schema)
+    return coded.mapInArrow(freeing(run), coded.withColumn("decoded", F.lit(None).cast("binary")).schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
