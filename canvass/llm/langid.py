@@ -41,6 +41,7 @@ _START, _END = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _WORDS = regex.compile(r"\p{L}+").findall
+_WORDS_AND_BREAKS = regex.compile(r"\p{L}+|\n").findall
 _GAP = re.compile(r"\s")
 
 
@@ -168,7 +169,8 @@ class LanguageModels:
         hashes, out = _hashes(codes, self.order), np.zeros((len(words), len(self.langs)))
         most = max(1, CELLS // max(len(self.langs), 1))
         for low in range(0, len(codes), most):  # one slice, but for words longer than that
-            at = np.arange(low, min(low + most, len(codes)))
+            high = min(low + most, len(codes))
+            which, at = self._distinct(hashes, place, low, high)
             score = np.full((len(at), len(self.langs)), -np.log(self.alphabet))
             for n in range(1, self.order + 1):
                 row = np.flatnonzero((place[at] >= 1) & (place[at] >= n - 1))
@@ -180,9 +182,22 @@ class LanguageModels:
             score[place[at] == 0] = 0.0
             first = np.searchsorted(starts, low, "right") - 1
             own = starts[first:][starts[first:] < low + most]
-            out[first : first + len(own)] += np.add.reduceat(score, np.maximum(own - low, 0), axis=0)
+            out[first : first + len(own)] += np.add.reduceat(score[which], np.maximum(own - low, 0), axis=0)
         return out
 
+    def _distinct(self, hashes: list[np.ndarray], place: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams that end at the places from ``low`` to ``high``, as numbers, and one place of each.
+
+        A symbol's score depends only on the symbols of its word before it, ``order`` of them with itself, and few of these differ.
+        """
+        key = hashes[self.order][low:high]
+        for n in range(1, self.order):
+            key = np.where(place[low:high] == n - 1, hashes[n][low:high], key)
+        which, keys = pd.factorize(key)
+        at = np.zeros(len(keys), np.int64)
+        at[which] = np.arange(low, high)
+        return which, at
+
     def judge(self, sums: np.ndarray, events: np.ndarray, letters: np.ndarray) -> pd.DataFrame:
         """Language, score, cross-entropy (nats for each character) and rejection of texts from their sums."""
         n = len(events)
@@ -235,24 +250,25 @@ class Scorer:
     def __init__(self, models: LanguageModels):
         self.models, self.index, self.width = models, {}, len(models.langs) + 2
         self.room = max(1, min(REMEMBERED, REMEMBERED_BYTES // (8 * self.width)))
-        self.rows, self.words = np.zeros((0, self.width)), {}
+        self.rows = np.zeros((0, self.width))
 
     def _learn(self, fresh: list[str]) -> None:
-        found = [words_of(p) for p in fresh]
         used = len(self.index)
         if used + len(fresh) > len(self.rows):
             self.rows = np.concatenate([self.rows[:used], np.zeros((max(len(fresh), min(used, self.room)), self.width))])
-        owners: dict[str, list[int]] = {}
-        for i, x in enumerate(found):
-            for w in x:
-                owners.setdefault(w, []).append(used + i)
-        for words, scores in self.models.word_scores(list(owners)):
-            at = [owners[w] for w in words]
-            each = np.repeat(np.arange(len(words)), [len(x) for x in at])
-            size = np.fromiter(map(len, words), np.int64, len(words))
-            flat = np.fromiter(chain.from_iterable(at), np.int64, len(each)) - used
+        # A piece holds no white space, so each begins with the only line break before it.
+        found = np.array(_WORDS_AND_BREAKS("\n" + "\n".join(fresh).lower()), object)
+        which, words = pd.factorize(found)
+        owner, order = np.cumsum(which == 0) - 1, np.argsort(which, kind="stable")
+        which, owner, words = which[order] - 1, owner[order], words[1:].tolist()
+        done = 0
+        for some, scores in self.models.word_scores(words):
+            low, high = np.searchsorted(which, (done, done + len(some)))
+            each, flat = which[low:high] - done, owner[low:high]
+            size = np.fromiter(map(len, some), np.int64, len(some))
             for column, values in enumerate([*scores.T, size + 1, size]):
                 self.rows[used : used + len(fresh), column] += np.bincount(flat, values[each], len(fresh))
+            done += len(some)
         self.index.update(zip(fresh, range(used, used + len(fresh))))
 
     def _add(self, cut: list[tuple[int, list[str]]], out: np.ndarray) -> None:
@@ -261,9 +277,10 @@ class Scorer:
             self.index, self.rows = {}, np.zeros((0, self.width))
         if fresh := list(set().union(*(x for _, x in cut)) - self.index.keys()):
             self._learn(fresh)
-        for i, pieces in cut:
-            if pieces:
-                out[i] += self.rows[np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))].sum(axis=0)
+        if cut := [(i, x) for i, x in cut if x]:
+            size = np.fromiter((len(x) for _, x in cut), np.int64, len(cut))
+            at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(x for _, x in cut)), np.int64, size.sum())
+            np.add.at(out, [i for i, _ in cut], np.add.reduceat(self.rows[at], np.cumsum(size) - size, axis=0))
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text the log-probability by language, the characters with word ends, and the letters."""

@@ -260,6 +260,29 @@ def test_windows_and_bounds_change_no_sum(monkeypatch, texts):
         assert np.allclose(a[short], b[short])
 
 
+def test_each_n_gram_of_a_block_is_looked_up_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = list({"".join(rng.choice(list("abcd"), rng.integers(1, 12))) for _ in range(3000)})
+    models = langid.LanguageModels(["x", "y"], [Counter(dict.fromkeys(words[:50], 2)), Counter(dict.fromkeys(words[40:90], 3))])
+    alone = np.concatenate([rows for w in words for _, rows in models.word_scores([w])])
+    wanted, of = [], langid._Sparse.of
+    monkeypatch.setattr(langid._Sparse, "of", lambda self, x: wanted.append(len(x)) or of(self, x))
+    together = np.concatenate([rows for _, rows in models.word_scores(words)])
+    assert (together == alone).all()
+    assert max(wanted) <= sum(5**n for n in range(1, 5))
+
+
+def test_sums_are_those_of_the_words(texts):
+    models = langid.LanguageModels(["a", "b"], [Counter({"the": 3, "cat": 2}), Counter({"le": 3, "chat": 2})])
+    odd = ["ΑΣ ΣΑΣ. ΑΣ\u0301Α", "İstanbul'da \x00 x\x01y 12 3a4 a-b-a-b", "\ud800x é\u0301 ﬁ ǅ", "the\x1cthe\u2028The-the\x85cat", "1 2", ""]
+    some = [t or "" for _, t in texts if len(t or "") < 9000] + odd
+    sums, events, letters = langid.Scorer(models).sums(some)
+    for text, row, n, m in zip(some, sums, events, letters):
+        words = [w for p in text.split() for w in langid.words_of(p)]
+        want = sum((rows[0] for w in words for _, rows in models.word_scores([w])), np.zeros(2))
+        assert np.allclose(row, want) and (n, m) == (sum(len(w) + 1 for w in words), sum(map(len, words)))
+
+
 def test_a_language_of_few_documents_rejects_random_letters(spark):
     rows = [(i, "some words of one language are here " * 3 + "word " * (i % 5), "en") for i in range(12)]
     docs = spark.createDataFrame(rows + [(50, "qzx jkwvq xqzjk vwxqz", None), (51, None, None)], "doc_id long, text string, lang string")
