@@ -171,6 +171,20 @@ def _middles(own: DataFrame, max_bits: int, crowd: int) -> DataFrame:
     return found.where(F.col("near") > crowd).select("slot", "key", "head.node", "head.fp")
 
 
+def _crowds(own: DataFrame, heads: DataFrame, max_bits: int, segments: int, chain: int) -> DataFrame:
+    """``slot, key, node, fp, own, head, head_fp``: the texts of crowded buckets under each bucket that they meet, with its middle.
+
+    Texts of a bucket that is not crowded meet all others there, so only crowded buckets need meet each other; and as what two
+    keys differ by is the same from either, only the one with the smaller key takes the other's texts. ``own`` says whose bucket it is.
+    """
+    flips = [F.array(*[F.lit(_signed(f)) for f in flips]) for _, flips in chain_flips(max_bits, segments, chain)]
+    around = heads.withColumnsRenamed({"key": "bucket", "node": "head", "fp": "head_fp"})
+    around = around.withColumn("flip", F.explode(F.array(*flips)[F.col("slot") % segments])).withColumn("key", F.col("bucket").bitwiseXOR(F.col("flip")))
+    around = around.where("key >= bucket").join(heads.select("slot", "key"), ["slot", "key"], "left_semi")
+    rows = own.join(around, ["slot", "key"])
+    return rows.select("slot", F.col("bucket").alias("key"), "node", "fp", (F.col("flip") == 0).alias("own"), "head", "head_fp")
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, text`` of the wanted nodes, one row each."""
     wanted = nodes.join(wanted.distinct(), "node").select("node", F.col("key").alias("of"), "least")
@@ -197,21 +211,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
     return rows.select("a", "b", "s", "t").mapInPandas(freeing(compare), "a long, b long")
 
 
-def _left_apart(own: DataFrame, members: DataFrame, links: DataFrame, docs: DataFrame, nodes: DataFrame, max_bits: int, segments: int, chain: int, similarity: float) -> DataFrame:
+def _left_apart(members: DataFrame, links: DataFrame, docs: DataFrame, nodes: DataFrame, max_bits: int, segments: int, chain: int, similarity: float) -> DataFrame:
     """Pairs of crowded buckets whose ends the links so far leave in different components and that may be similar enough.
 
     In each bucket only those outside its largest component meet the others, so a crowd that the stars
     have joined meets nobody; and a pair counts in the first slot only in which it meets. Pairs whose odd bits
     show that their shingles differ in too many are left out; that is a bound, so no link is lost.
     """
-    parts = connected_components(links)
-    named = lambda rows: rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own, members = stored(named(own), "own"), stored(named(members), "named")
-    sizes = members.groupBy("slot", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("slot", "key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"))
-    largest = stored(largest.where("parts > 1").drop("parts"), "mixed")
-    own, members = (rows.join(largest, ["slot", "key"], "left_semi") for rows in (own, members))
-    largest = largest.withColumnRenamed("largest", "component")
+    on, parts = ["slot", "key"], connected_components(links)
+    members = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = stored(members.select(*on, "node", "fp", "own", "component"), "named")
+    sizes = members.groupBy(*on, "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy(*on).agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"))
+    mixed = stored(largest.where("parts > 1").drop("parts"), "mixed")
+    rows = stored(members.join(mixed, on).withColumn("few", F.col("component") != F.col("largest")).drop("largest"), "apart")
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -219,25 +232,21 @@ def _left_apart(own: DataFrame, members: DataFrame, links: DataFrame, docs: Data
             found = np.array([odd_bits(h) for h in sets], np.int64).reshape(len(sets), ODD)
             yield x[["node"]].assign(n=[len(h) for h in sets], **{f"s{i}": found[:, i] for i in range(ODD)})
 
-    texts = _texts(docs, nodes, own.select("node").union(members.select("node")))
+    texts = _texts(docs, nodes, rows.select("node"))
     sketches = texts.mapInPandas(freeing(sketch), "node long, n long, " + ", ".join(f"s{i} long" for i in range(ODD)))
     sketches = stored(sketches.join(nodes.select("node", *[f"fp{t}" for t in range(TABLES)]), "node"), "sketches")
+    # The sketches meet each node once, however many buckets it is in.
+    held = rows.groupBy("node").agg(F.min("component").alias("component"), F.collect_list(F.struct(*on, "fp", "own", "few")).alias("at"))
+    held = held.join(sketches, "node").withColumn("at", F.explode("at"))
+    rows = stored(held.select("at.*", "node", "component", *sketches.drop("node").columns), "sketched")
 
     def near(x: Callable, y: Callable) -> Column:
         differ = sum((F.bit_count(x(f"s{i}").bitwiseXOR(y(f"s{i}"))) for i in range(ODD)), F.lit(0))
         few = differ <= most_apart(x("n") + y("n"), similarity)
         return (x("component") != y("component")) & _within(max_bits)(x, y) & few & _first_met(x, y, max_bits, segments, chain)
 
-    def sketched(rows: DataFrame) -> DataFrame:
-        """The rows with their sketches, which meet each node once, however many buckets it is in."""
-        held = rows.groupBy("node").agg(F.min("component").alias("component"), F.collect_list(F.struct("slot", "key", "fp")).alias("at"))
-        return held.join(sketches, "node").withColumn("at", F.explode("at")).select("at.*", *held.drop("at").columns, *sketches.drop("node").columns)
-
-    own_few, few = (rows.join(largest, ["slot", "key", "component"], "left_anti") for rows in (own, members))
-    on = ["slot", "key"]
-    met = members.join(own_few.select(*on).distinct(), on, "left_semi")
-    own, own_few, met, few = (sketched(rows) for rows in (own, own_few, met, few))
-    return _pairs(own_few, met, on, near).union(_pairs(own, few, on, near)).distinct()
+    side = lambda which: rows.where(which).drop("own", "few")
+    return _pairs(side("own and few"), side("true"), on, near).union(_pairs(side("own and not few"), side("few"), on, near)).distinct()
 
 
 def _text_key() -> Column:
@@ -272,11 +281,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, max_bits: int =
     if full.isEmpty():
         links = stored(_verified(stored(plain, "pairs"), docs, nodes, similarity), "joined")
     else:
-        crowded = stored(own.join(full, ["slot", "key"], "left_semi"), "crowd")
-        members = stored(near.join(full, ["slot", "key"], "left_semi"), "members")
-        stars = _pairs(heads, members, ["slot", "key"], _within(max_bits))
+        members = stored(_crowds(own, heads, max_bits, segments, chain), "members")
+        x = lambda c: F.col({"node": "head", "fp": "head_fp"}[c])
+        stars = members.where((x("node") != F.col("node")) & _within(max_bits)(x, F.col))
+        stars = stars.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
         links = stored(_verified(stored(plain.union(stars).distinct(), "pairs"), docs, nodes, similarity), "joined")
-        left = stored(_left_apart(crowded, members, links, docs, nodes, max_bits, segments, chain, similarity), "left")
+        left = stored(_left_apart(members.drop("head", "head_fp"), links, docs, nodes, max_bits, segments, chain, similarity), "left")
         links = links.union(stored(_verified(left, docs, nodes, similarity), "rejoined"))
     parts = connected_components(links)
     texts = nodes.join(parts, "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))

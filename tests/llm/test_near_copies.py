@@ -113,6 +113,27 @@ def test_crowds_lose_no_link_at_the_limit(spark):
     assert {i: min(at[t] for t in group) for group in parts(set(texts), plain_links(texts)) for i in (at[t] for t in group)} == named
 
 
+def test_crowded_buckets_meet_once(spark, monkeypatch):
+    rng, held, stored = random.Random(6), {}, near.stored
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(200)]
+    texts = list(dict.fromkeys(" ".join(rng.choice(vocabulary) if rng.random() < 0.02 else w for w in base) for _ in range(150)))
+
+    def kept(df, name):
+        held[name] = stored(df, name)
+        return held[name]
+
+    monkeypatch.setattr(near, "stored", kept)
+    found, of = near.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    named = {r.doc_id: r.component_id for r in of.join(found, "key").collect()}
+    at = {t: i for i, t in enumerate(texts)}
+    assert named == {at[t]: min(at[t] for t in group) for group in parts(set(texts), plain_links(texts)) for t in group}
+    masks, full = segment_masks(near.SEGMENTS), {(r.slot, r.key) for r in held["heads"].collect()}
+    meets = {(r.slot, r.key, near._signed(r.fp & (masks[r.slot % near.SEGMENTS] | masks[(r.slot + 1) % near.SEGMENTS]))) for r in held["members"].collect()}
+    assert any(a != b for _, a, b in meets)
+    assert all((s, a) in full and (s, b) in full and (a == b or (s, b, a) not in meets) for s, a, b in meets)
+
+
 def test_nulls_repeated_ids_and_no_rows(spark, docs, nothing):
     kept = near.without_near_copies(docs)
     rows = kept.collect()
