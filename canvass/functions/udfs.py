@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
@@ -130,6 +131,82 @@ def ratio_at_least(threshold: float):
     return run
 
 
+#: Bits of texts that another text is compared with at once, and bytes of results that are looked at together.
+PACK_BITS, LOOK_BYTES = 1 << 13, 1 << 22
+
+
+def _folded(text: str) -> bytes:
+    """Characters in 256 classes, which can only lengthen what texts have in common."""
+    return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") % 256).astype(np.uint8).tobytes()
+
+
+class Pack:
+    """Texts side by side in one long row of bits, so that a step of ``in_order`` serves them all.
+
+    Behind each text lie whole bytes that count what its additions carry over, which is its subsequence's length.
+    """
+
+    def __init__(self, texts: list[str]):
+        sizes = np.array([len(t) for t in texts])
+        self.width = (int(sizes.max()).bit_length() + 7) // 8
+        self.ends = np.cumsum(-(-sizes // 8) + self.width) - self.width
+        self.bytes = int(self.ends[-1]) + self.width
+        codes = np.full(8 * self.bytes, 256, np.uint16)
+        for text, size, end in zip(texts, sizes.tolist(), (8 * self.ends).tolist()):
+            codes[end - size : end] = np.frombuffer(_folded(text), np.uint8)
+        bits = lambda met: int.from_bytes(np.packbits(met, bitorder="little").tobytes(), "little")
+        self.every = bits(codes < 256)
+        self.places = {c: (places, self.every ^ places) for c in np.unique(codes).tolist() if c < 256 for places in [bits(codes == c)]}
+        self.others = bytes(c for c in range(256) if c not in self.places)
+
+    def common(self, folded: list[bytes]) -> np.ndarray:
+        """Longest common subsequence of each folded text (rows) with each of the pack's texts (columns), or more."""
+        found, places = bytearray(), self.places
+        for text in folded:
+            row = self.every
+            for c in text.translate(None, self.others):
+                here, elsewhere = places[c]
+                row = row + (row & here) | row & elsewhere
+            found += row.to_bytes(self.bytes, "little")
+        counts = np.frombuffer(found, np.uint8).reshape(len(folded), self.bytes)
+        return sum((counts[:, self.ends + k].astype(np.int64) << 8 * k for k in range(self.width)), np.zeros((len(folded), len(self.ends)), np.int64))
+
+
+def alike_pairs(many: list[str], few: list[str], threshold: float, few_first: bool) -> Iterator[tuple[int, int, float]]:
+    """Places in both lists and ratio of all pairs of texts at ``threshold`` or more; ``few_first`` makes the second list's text the first of the ratio.
+
+    The exact ratio is taken only of pairs whose longest common subsequence allows it.
+    """
+    many_at, few_at = (sorted(range(len(x)), key=lambda i, x=x: len(x[i])) for x in (many, few))
+    folded, sizes = [_folded(many[i]) for i in many_at], np.array([len(many[i]) for i in many_at], np.int64)
+    widest, matcher, start = (2 - threshold) / threshold, SequenceMatcher(None), 0
+    while start < len(few_at):
+        stop, held = start, 0
+        while stop < len(few_at) and (stop == start or held + len(few[few_at[stop]]) <= PACK_BITS):
+            held += len(few[few_at[stop]])
+            stop += 1
+        some, start = few_at[start:stop], stop
+        own = np.array([len(few[j]) for j in some], np.int64)
+        low, high = np.searchsorted(sizes, [own[0] / widest - 1, own[-1] * widest + 1]).tolist()
+        if low == high:
+            continue
+        pack = Pack([few[j] for j in some])
+        step = max(1, LOOK_BYTES // max(1, pack.bytes))
+        for at in range(low, high, step):
+            upto = min(at + step, high)
+            both = sizes[at:upto, None] + own
+            near = 2.0 * pack.common(folded[at:upto]) >= threshold * both - 1e-9
+            for k, j in zip(*(x.tolist() for x in np.nonzero(near.T))):
+                one, two = many[many_at[at + j]], few[some[k]]
+                x, y = (two, one) if few_first else (one, two)
+                if y != matcher.b:
+                    matcher.set_seq2(y)  # what is counted of the second text serves all that follow
+                matcher.set_seq1(x)
+                found = matcher.ratio()
+                if found >= threshold:
+                    yield many_at[at + j], some[k], found
+
+
 def mock_vector(text: str | None, dim: int) -> np.ndarray:
     seed = int.from_bytes(hashlib.sha256((text or "").encode()).digest()[:8], "big")
     v = np.random.default_rng(seed).normal(size=dim)

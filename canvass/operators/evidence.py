@@ -80,14 +80,14 @@ def rule_matches(clusters: DataFrame, rules: DataFrame, min_words: int = 6, max_
     bodies = rules.select("ord", "section", "body", X.normalize(F.col("body")).alias("b")).where("b <> ''")
     inside = containing(bodies.select("ord", "section", F.col("b").alias("t")), phrases, ["ord", "section"])
     exact = inside.groupBy("cluster_id", "phrase_ord", "phrase").agg(F.min(F.struct("ord", "section"))["section"].alias("section"))
-    exact = exact.select("cluster_id", "phrase_ord", "phrase", "section", F.col("phrase").alias("rule_phrase"), F.lit(1.0).alias("ratio"))
+    exact = stored(exact.select("cluster_id", "phrase_ord", "phrase", "section", F.col("phrase").alias("rule_phrase"), F.lit(1.0).alias("ratio")), "exact")
     sentences = bodies.select("ord", "section", F.posexplode(F.filter(F.transform(X.sentences(F.col("body")), X.strip), lambda s: s != "")).alias("sent_ord", "rule_phrase"))
     sentences = sentences.withColumn("s", X.normalize(F.col("rule_phrase")))
     left = phrases.join(exact.select("cluster_id", "phrase_ord"), ["cluster_id", "phrase_ord"], "left_anti")
-    scored = alike(left, sentences, "p", "s", threshold, few="s")
+    each = left.select("p").distinct().repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
     first = F.struct((-F.col("ratio")).alias("r"), "ord", "sent_ord", "section", "rule_phrase")
-    best = scored.groupBy("cluster_id", "phrase_ord", "phrase").agg(F.min(first).alias("x"))
-    fuzzy = best.select("cluster_id", "phrase_ord", "phrase", F.col("x.section"), F.col("x.rule_phrase"), (-F.col("x.r")).alias("ratio"))
+    best = alike(each, sentences, "p", "s", threshold, few="s").groupBy("p").agg(F.min(first).alias("x"))
+    fuzzy = left.join(best, "p").select("cluster_id", "phrase_ord", "phrase", F.col("x.section"), F.col("x.rule_phrase"), (-F.col("x.r")).alias("ratio"))
     return exact.unionByName(fuzzy)
 
 

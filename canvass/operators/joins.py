@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from canvass.functions.udfs import ratio_at_least, ratio_bound
+from canvass.functions.udfs import alike_pairs, ratio_at_least, ratio_bound
 
 #: A side of a join is broadcast up to this many bytes of text, with so many for each row beside them.
 BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 #: Words of the runs by which texts and phrases meet before they are compared.
 RUN = 3
+#: Pairs of texts in a batch that is given back.
+PAIRS = 1 << 14
+
+
+def _bytes(*texts: str) -> Column:
+    """Bytes of a row with these columns."""
+    return reduce(Column.__add__, [F.coalesce(F.octet_length(c), F.lit(0)) for c in texts], F.lit(ROW_BYTES).cast("long"))
 
 
 def small_side(rows: DataFrame, *texts: str) -> DataFrame:
     """``rows`` with a broadcast hint if the bytes of their columns ``texts`` allow it, else as they are: the join then shuffles."""
-    size = reduce(Column.__add__, [F.coalesce(F.octet_length(c), F.lit(0)) for c in texts], F.lit(ROW_BYTES).cast("long"))
-    return F.broadcast(rows) if (rows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else rows
+    return F.broadcast(rows) if (rows.agg(F.sum(_bytes(*texts))).first()[0] or 0) <= BROADCAST_BYTES else rows
 
 
 def _runs(words: str, k: int) -> Column:
@@ -58,20 +70,47 @@ def containing(texts: DataFrame, phrases: DataFrame, key: list[str]) -> DataFram
 def alike(a: DataFrame, b: DataFrame, x: str, y: str, threshold: float, few: str) -> DataFrame:
     """Rows of ``a`` beside those of ``b`` with ``ratio`` of texts ``x`` and ``y`` (normalized) at ``threshold`` or more.
 
-    Texts whose lengths don't allow it never meet: they are dealt into classes of length, and only neighbours are joined.
-    ``few`` names the column of the side with fewer texts, which is broadcast if its size allows.
+    ``few`` names the column of the side with fewer texts. If its size allows, its different texts are sent to the executors, the rows
+    of the other side stay where they are and each is compared with all of them at once. Else texts whose lengths don't allow
+    the threshold never meet: they are dealt into classes of length, and only neighbours are joined.
     """
     widest = (2 - threshold) / threshold  # the longer text is at most this many times the shorter
-    of = lambda c: F.floor(F.log(F.greatest(F.char_length(c), F.lit(1)).cast("double")) / F.log(F.lit(widest))).cast("long")
+    size, least, most = (b if few == y else a).agg(F.sum(_bytes(few)), F.min(F.char_length(few)), F.max(F.char_length(few))).first()
+    if (size or 0) <= BROADCAST_BYTES:
+        (many, text), some = ((a, x), b) if few == y else ((b, y), a)
+        fits = F.char_length(text).between((least or 0) / widest - 1, (most or 0) * widest + 1)
+        return _alike_to(many.where(fits), some, text, few, threshold, few == x).select(*a.columns, *b.columns, "ratio")
+    of = lambda c: F.floor(F.log(F.greatest(F.char_length(c), F.lit(1)).cast("double")) / F.log(F.lit(widest * (1 + 1e-9)))).cast("long")
     near = lambda c: F.explode(F.array(*[of(c) + i for i in (-1, 0, 1)]))
     if few == x:
-        a, b = small_side(a.withColumn("__class", near(x)), x), b.withColumn("__class", of(y))
+        a, b = a.withColumn("__class", near(x)), b.withColumn("__class", of(y))
     else:
-        a, b = a.withColumn("__class", of(x)), small_side(b.withColumn("__class", near(y)), y)
+        a, b = a.withColumn("__class", of(x)), b.withColumn("__class", near(y))
     pairs = a.join(b, "__class").drop("__class").where(ratio_bound(F.col(x), F.col(y)) >= threshold)
     return pairs.withColumn("ratio", ratio_at_least(threshold)(x, y)).where("ratio is not null")
 
 
+def _alike_to(many: DataFrame, some: DataFrame, text: str, few: str, threshold: float, few_first: bool) -> DataFrame:
+    """Rows of ``many`` beside those of ``some`` with ``ratio``; the different texts of ``some`` are held in memory."""
+    texts = sorted(r[0] for r in some.where(F.col(few).isNotNull()).select(few).distinct().collect())
+    sent, columns = many.sparkSession.sparkContext.broadcast(texts), [*many.columns, few, "ratio"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, known = pd.factorize(batch.column(batch.schema.get_field_index(text)).to_numpy(zero_copy_only=False))
+            rows, first = np.argsort(codes, kind="stable"), np.searchsorted(np.sort(codes), np.arange(len(known) + 1))
+            found = alike_pairs(known.tolist(), sent.value, threshold, few_first)
+            while part := list(islice(found, PAIRS)):
+                own, other, ratios = zip(*part)
+                counts = np.diff(first)[list(own)]
+                at = np.concatenate([rows[first[i] : first[i + 1]] for i in own])
+                near = pa.array([sent.value[j] for j in other], pa.string()).take(pa.array(np.repeat(np.arange(len(part)), counts)))
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, near, pa.array(np.repeat(ratios, counts))], columns)
+
+    found = many.mapInArrow(compare, T.StructType([*many.schema.fields, T.StructField(few, T.StringType()), T.StructField("ratio", T.DoubleType())]))
+    return found.join(small_side(some, few), few)
+
+
 def without_active(rows: DataFrame, requests: DataFrame, key: str, active: Column) -> DataFrame:
     """Rows for which there is no request with ``active`` true."""
     return rows.join(requests.where(active).select(key), key, "left_anti")

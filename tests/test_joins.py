@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from canvass.functions.udfs import ratio_at_least
+from canvass.functions.udfs import Pack, alike_pairs, ratio_at_least
 from canvass.operators.components import connected_components
 from canvass.operators import joins, vectors
 
@@ -113,3 +113,42 @@ def test_ratio_is_not_taken_of_what_only_shares_its_letters(monkeypatch):
     monkeypatch.setattr(SequenceMatcher, "ratio", lambda self: asked.append((self.a, self.b)) or ratio(self))
     got = ratio_at_least(0.6).func(pd.Series([a, a, None, "", "ab"]), pd.Series([b, a, a, "", "cd"]))
     assert got[1] == got[3] == 1.0 and got.notna().sum() == 2 and (a, b) not in asked
+
+
+@pytest.mark.parametrize("threshold, few_first", [(0.6, False), (0.5, True), (0.85, False)])
+def test_packed_texts_give_the_ratios_of_all_pairs(threshold, few_first):
+    rng = random.Random(6)
+    some = lambda n, most: ["".join(rng.choice("ab cé한") for _ in range(rng.randint(0, most))) for _ in range(n)]
+    few = some(60, 40) + some(8, 700) + ["", "a" * 255, "a" * 256, "a" * 9000]
+    many = some(60, 40) + [t[5:] + "ab" for t in few] + ["", "b" * 300, "a" * 256]
+    want = {}
+    for i, one in enumerate(many):
+        for j, two in enumerate(few):
+            ratio = SequenceMatcher(None, *((two, one) if few_first else (one, two))).ratio()
+            if ratio >= threshold:
+                want[i, j] = ratio
+    found = list(alike_pairs(many, few, threshold, few_first))
+    assert {(i, j): r for i, j, r in found} == want and len(found) == len(want) > 20
+
+
+def test_packs_hold_common_subsequences_of_every_text():
+    pack = Pack(["abcbdab", "", "x" * 300 + "y", "bdcaba"])
+    assert pack.common([b"bdcaba", b"", b"x" * 299 + b"zy", b"abcbdab"]).tolist() == [[4, 0, 0, 6], [0, 0, 0, 0], [0, 0, 300, 0], [7, 0, 0, 4]]
+
+
+@pytest.mark.parametrize("few, limit", [("p", 0), ("t", 0), ("p", 64 << 20), ("t", 64 << 20)])
+def test_alike_keeps_repeated_and_drops_null_texts(spark, monkeypatch, few, limit):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+    a = spark.createDataFrame([(1, "one two three"), (2, "one two three"), (3, None), (4, "")], "i int, p string")
+    b = spark.createDataFrame([(1, "one two three four"), (2, "one two three four"), (3, None), (4, ""), (5, "z" * 2000)], "j int, t string")
+    got = sorted((r.i, r.j, round(r.ratio, 4)) for r in joins.alike(a, b, "p", "t", 0.6, few).collect())
+    assert got == [(1, 1, 0.8387), (1, 2, 0.8387), (2, 1, 0.8387), (2, 2, 0.8387), (4, 4, 1.0)]
+    assert joins.alike(a.where("i > 9"), b, "p", "t", 0.6, few).count() == joins.alike(a, b.where("j > 9"), "p", "t", 0.6, few).count() == 0
+
+
+def test_alike_makes_no_rows_of_pairs_before_they_are_compared(spark):
+    a = spark.createDataFrame([(i, f"number {i} of many") for i in range(50)], "i int, p string")
+    b = spark.createDataFrame([(j, f"text {j} of few") for j in range(5)], "j int, t string")
+    plan = joins.alike(a, b, "p", "t", 0.6, few="t")._jdf.queryExecution().optimizedPlan().toString()
+    before = plan[plan.index("MapInArrow") :]
+    assert plan.count("Join") == 1 and "Join" not in before
