@@ -33,11 +33,36 @@ def small_side(rows: DataFrame, *texts: str) -> DataFrame:
     return F.broadcast(rows) if (rows.agg(F.sum(_bytes(*texts))).first()[0] or 0) <= BROADCAST_BYTES else rows
 
 
-def _runs(words: str, k: int) -> Column:
-    """All runs of ``k`` of the words in an array column, each once."""
-    at = F.sequence(F.lit(0), F.size(words) - k)
-    run = lambda i: F.concat_ws(" ", *[F.get(F.col(words), i + j) for j in range(k)])
-    return F.when(F.size(words) >= k, F.array_distinct(F.transform(at, run))).otherwise(F.array().cast("array<string>"))
+def _words(text: str, f) -> Column:
+    """``f`` of the words of a text column. As a lambda's argument they are split once; a column would be put in for each mention, also within loops."""
+    return F.transform(F.array(F.split(text, " ")), f)[0]
+
+
+def _runs(text: str, k: int) -> Column:
+    """All runs of ``k`` of a text's words, each once."""
+
+    def of(words: Column) -> Column:
+        run = lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)])
+        every = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - k), run))
+        return F.when(F.size(words) >= k, every).otherwise(F.array().cast("array<string>"))
+
+    return _words(text, of)
+
+
+def _inner(words: Column) -> Column:
+    """How many words, ``RUN`` at most, lie between the first and the last."""
+    return F.least(F.greatest(F.size(words) - 2, F.lit(0)), F.lit(RUN))
+
+
+def _longest_run(text: str) -> Column:
+    """The longest run of ``_inner`` of a text's words but its first and last; null where there are none."""
+
+    def of(words: Column) -> Column:
+        k = _inner(words)
+        runs = F.transform(F.sequence(F.lit(2), F.size(words) - k), lambda i: F.array_join(F.slice(words, i, k), " "))
+        return F.when(k > 0, F.array_max(F.transform(runs, lambda run: F.struct(F.char_length(run).alias("n"), run.alias("run"))))["run"])
+
+    return _words(text, of)
 
 
 def containing(texts: DataFrame, phrases: DataFrame, key: list[str]) -> DataFrame:
@@ -49,17 +74,12 @@ def containing(texts: DataFrame, phrases: DataFrame, key: list[str]) -> DataFram
     for in every text.
     """
     own = phrases.columns
-    phrases = phrases.withColumn("__w", F.split("p", " "))
-    phrases = phrases.withColumn("__k", F.least(F.greatest(F.size("__w") - 2, F.lit(0)), F.lit(RUN)))
-    part = lambda i: F.array_join(F.slice(F.col("__w"), i, F.col("__k")), " ")
-    inner = F.transform(F.sequence(F.lit(2), F.size("__w") - F.col("__k")), lambda i: F.struct(F.char_length(part(i)).alias("n"), part(i).alias("run")))
-    phrases = phrases.withColumn("__run", F.when(F.col("__k") > 0, F.array_max(inner)["run"])).drop("__w")
+    phrases = phrases.select("*", _words("p", _inner).alias("__k"), _longest_run("p").alias("__run"))
     short = phrases.where("__k = 0").select(*own)
     out = texts.join(small_side(short, "p"), F.contains(F.col("t"), F.col("p")))
-    words = texts.select(*key, F.split("t", " ").alias("__w"))
     met = None
     for n in sorted(r["__k"] for r in phrases.select("__k").distinct().collect() if r["__k"]):  # RUN values at most
-        runs = words.select(*key, F.explode(_runs("__w", n)).alias("__run"))
+        runs = texts.select(*key, F.explode(_runs("t", n)).alias("__run"))
         found = runs.join(small_side(phrases.where(F.col("__k") == n), "p", "p"), "__run").select(*key, *own)
         met = found if met is None else met.unionByName(found)
     if met is not None:

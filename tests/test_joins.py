@@ -152,3 +152,12 @@ def test_alike_makes_no_rows_of_pairs_before_they_are_compared(spark):
     plan = joins.alike(a, b, "p", "t", 0.6, few="t")._jdf.queryExecution().optimizedPlan().toString()
     before = plan[plan.index("MapInArrow") :]
     assert plan.count("Join") == 1 and "Join" not in before
+
+
+def test_words_are_split_once_and_not_again_in_each_loop(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    texts = spark.createDataFrame([(1, "a text of some words")], "id int, t string")
+    phrases = spark.createDataFrame([(1, "text of some wor")], "ord int, p string")
+    found = joins.containing(texts.where("id > 0"), phrases.where("ord > 0"), ["id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(split(" not in plan and "get(split(" not in plan and "size(split(" not in plan and found.count() == 1
