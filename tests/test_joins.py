@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,16 @@ def test_cosine_rows_shuffle_nothing(spark):
     assert "Exchange" not in vectors.cosine_rows(rows.where("id % 50 = 0"), rows)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cosine_rows_are_written_with_little_beside_the_cosine(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(rng.permutation(1 << 16)[:8000], rng.normal(size=(8000, 4)))], "id long, v array<double>").coalesce(1)
+    vectors.cosine_rows(rows.limit(200), rows).write.parquet(f"{tmp_path}/out")
+    (part,) = tmp_path.glob("out/*.parquet")
+    groups = pq.ParquetFile(part).metadata
+    size = {c: sum(groups.row_group(g).column(n).total_compressed_size for g in range(groups.num_row_groups)) for n, c in enumerate(("query_id", "id", "cosine"))}
+    assert groups.num_rows == 200 * 7999 and size["query_id"] + size["id"] < groups.num_rows / 2
+
+
 def test_cosine_rows_are_whole(spark):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(70, 5))
